@@ -58,8 +58,7 @@ def nearest_by_speed(probes: DataFrame, candidates: DataFrame, p: Params) -> Dat
 
 def _neighbours(timeline: DataFrame, p: Params) -> DataFrame:
     """Add the nearest candidate at or below (``_slower``) and above (``_faster``) each row."""
-    rows = None if p.small_rows >= 0 else 0
-    sharded = shard(timeline, GROUP, ORDER, p.small_rows, rows)
+    sharded = shard(timeline, GROUP, ORDER, p.small_rows)
     so_far = sharded.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = sharded.window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     local = sharded.df.withColumns({

@@ -102,18 +102,24 @@ def lane_changed() -> Column:
     return F.coalesce(F.col("laneId_raw") != F.lag("laneId_raw").over(piece_window()), F.lit(True))
 
 
+def _pieced(l1: DataFrame, p: Params, before: int, after: int) -> DataFrame:
+    """Rows in pieces with halo; a table that knows its row order is cut without looking at the tracks."""
+    if {"row_idx", "n_rows"} <= set(l1.columns):
+        return with_halo(l1, "row_idx", p.chunk_rows, before, after)
+    return index_and_halo(l1, track_pieces(l1, p), p, before, after)
+
+
 def with_working_columns(l1: DataFrame, p: Params) -> DataFrame:
     """Add the working columns to an L1 table that came without them."""
     if set(WORKING) <= set(l1.columns):
         return l1
-    l1 = l1.drop(*WORKING)
-    rows = index_and_halo(l1, track_pieces(l1, p), p, before=1, after=0)
+    rows = _pieced(l1, p, before=1, after=0)
     return rows.withColumn("lane_changed", lane_changed()).filter(~F.col(HALO)).drop(HALO, PIECE)
 
 
-def with_previous(l1: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
-    """Add ``prev_<column>``: the value in the track's previous row."""
-    base = l1.drop(*WORKING)
-    rows = index_and_halo(base, track_pieces(base, p), p, before=1, after=0)
-    lagged = {f"prev_{c}": F.lag(c).over(piece_window()) for c in columns}
+def with_shifted(l1: DataFrame, shifted: dict[str, tuple[str, int]], p: Params) -> DataFrame:
+    """Add columns taken from another row of the track: ``name: (column, rows ahead)``, -1 the row before."""
+    steps = [k for _, k in shifted.values()]
+    rows = _pieced(l1, p, before=max(0, -min(steps)), after=max(0, max(steps)))
+    lagged = {name: F.lag(column, -k).over(piece_window()) for name, (column, k) in shifted.items()}
     return rows.withColumns(lagged).filter(~F.col(HALO)).drop(HALO, PIECE)

@@ -24,30 +24,31 @@ class Workspace:
     p: Params
     _tables: dict[str, object] = field(default_factory=dict)
 
-    def _table(self, name: str, build):
+    def table(self, name: str, build):
+        """The table of that name, built at its first use."""
         if name not in self._tables:
             self._tables[name] = build()
         return self._tables[name]
 
     @property
     def raw(self) -> RawTables:
-        return self._table("raw", lambda: read_activity(self.spark, self.folder, self.p))
+        return self.table("raw", lambda: read_activity(self.spark, self.folder, self.p))
 
     @property
     def l1(self) -> DataFrame:
-        return self._table("l1", lambda: materialize(working_frames(self.raw, self.p), "l1"))
+        return self.table("l1", lambda: materialize(working_frames(self.raw, self.p), "l1"))
 
     @property
     def conflicts(self) -> DataFrame:
-        return self._table("conflicts", lambda: materialize(conflict_events(self.l1, self.p), "conflict-events"))
+        return self.table("conflicts", lambda: materialize(conflict_events(self.l1, self.p), "conflict-events"))
 
     @property
     def baselines(self) -> DataFrame:
-        return self._table("baselines", lambda: materialize(baseline_events(self.l1, self.p), "baseline-events"))
+        return self.table("baselines", lambda: materialize(baseline_events(self.l1, self.p), "baseline-events"))
 
     @property
     def mec(self) -> DataFrame:
-        return self._table("mec", lambda: materialize(
+        return self.table("mec", lambda: materialize(
             match_baselines(self.l1, self.conflicts, self.baselines, self.p), "mec"))
 
     def readable(self) -> bool:
