@@ -23,9 +23,10 @@ def runs(flagged: DataFrame, measures: dict[str, tuple[Column, Column]], p: Para
     keys = [*TRACK, *also_by]
     size = p.chunk_rows
     in_piece = Window.partitionBy(*keys, PIECE).orderBy("row_idx")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
     pieced = flagged.withColumn(PIECE, piece_of(F.col("row_idx"), size))
     partial = (
-        pieced.withColumn("_run", F.sum(_breaks(p, "row_idx", "row_idx", "frame", "frame", in_piece)).over(in_piece))
+        pieced.withColumn("_run", F.sum(_breaks(p, "row_idx", "row_idx", "frame", "frame", in_piece)).over(in_piece.rowsBetween(*so_far)))
         .groupBy(*keys, PIECE, "_run")
         .agg(
             F.min("row_idx").alias("_first"), F.max("row_idx").alias("_last"),
@@ -37,7 +38,7 @@ def runs(flagged: DataFrame, measures: dict[str, tuple[Column, Column]], p: Para
     together = Window.partitionBy(*keys, "_group").orderBy("_first")
     return (
         partial.withColumn("_group", F.when(at_border, F.lit(-1)).otherwise(F.col(PIECE)))
-        .withColumn("_run", F.sum(_breaks(p, "_first", "_last", "run_start", "run_end", together)).over(together))
+        .withColumn("_run", F.sum(_breaks(p, "_first", "_last", "run_start", "run_end", together)).over(together.rowsBetween(*so_far)))
         .groupBy(*keys, "_group", "_run")
         .agg(
             F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"),

@@ -51,14 +51,17 @@ def conflict_runs(l1: DataFrame, p: Params, thresholds: Sequence[float] | None =
     levels = [float(t) for t in (thresholds or [p.ttc_conflict])]
     rows = with_working_columns(l1, p).select(*TRACK, "frame", "TTC", "dt", "row_idx")
     low = rows.filter(F.col("TTC") < max(levels))
-    reached = F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: F.col("TTC") < t)
-    low = low.withColumn(THRESHOLD, F.explode(reached))
+    reached = F.array_compact(F.array(*[F.when(F.col("TTC") < t, F.lit(i)) for i, t in enumerate(levels)]))
+    low = low.withColumn("_level", F.explode(reached))
     length = F.sum(frame_seconds(F.col("dt"), p.frame_rate))
     measures = {
         "conf_duration": (length, F.round(F.sum("conf_duration"), 9)),
         "min_TTC_conf": (F.min("TTC"), F.min("min_TTC_conf")),
     }
-    return runs(low, measures, p, also_by=[THRESHOLD])
+    # Grouped by the threshold's number: a floating-point key would be normalised in some operators
+    # and not in others, which costs extra shuffles.
+    found = runs(low, measures, p, also_by=["_level"])
+    return found.withColumn(THRESHOLD, F.get(F.array(*[F.lit(t) for t in levels]), F.col("_level"))).drop("_level")
 
 
 def conflict_windows(l1: DataFrame, p: Params, thresholds: Sequence[float] | None = None,
@@ -76,12 +79,13 @@ def conflict_windows(l1: DataFrame, p: Params, thresholds: Sequence[float] | Non
     before, after = p.frames(p.pre_event_time), p.frames(p.post_event_time)
     rows = slice_frames(
         _event_rows(l1, p), cores, F.col("conf_start_frame") - before, F.col("conf_end_frame") + after, p)
-    core = [c for c in cores.columns if c != "recordingId"]
+    key = ["recordingId", "ego_id", THRESHOLD, "conf_start_frame", "conf_end_frame"]
     # The window is clamped to the track; a slice that holds the track's first (last) row was clamped there.
-    start = F.when(F.min("row_idx") == 0, F.min("frame")).otherwise(F.first("conf_start_frame") - before)
+    start = F.when(F.min("row_idx") == 0, F.min("frame")).otherwise(F.col("conf_start_frame") - before)
     end = F.when(F.max("row_idx") == F.max("n_rows") - 1, F.max("frame")).otherwise(
-        F.first("conf_end_frame") + after)
-    return rows.groupBy("recordingId", *core).agg(
+        F.col("conf_end_frame") + after)
+    return rows.groupBy(*key).agg(
+        F.max("conf_duration").alias("conf_duration"), F.max("min_TTC_conf").alias("min_TTC_conf"),
         start.alias("start_frame"), end.alias("end_frame"), *_window_measures(),
         F.min_by("frame", F.struct("TTC", "frame")).alias("min_ttc_frame"),
     )
