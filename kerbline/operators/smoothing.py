@@ -41,30 +41,34 @@ def with_smoothed(df: DataFrame, value: str, outputs: dict[str, int], p: Params)
 
     Away from the track's ends the window is centred. At the ends it stays inside the track and is
     evaluated off centre; shorter tracks use the largest odd window that fits, and tracks with fewer
-    than order + 2 rows keep the raw value.
+    than order + 2 rows keep the raw value. Nearly all rows are centred in a full window: they take a
+    plain sum with constant weights, and only the others look up samples and weights in arrays.
     """
-    reach = p.smooth_window - 1
+    full, reach = p.smooth_window, p.smooth_window - 1
     over = piece_window()
     shifted = {f"_at{k}": F.lag(value, -k).over(over) for k in range(-reach, reach + 1) if k}
-    samples = ",".join(f"`_at{k}`" if k else value for k in range(-reach, reach + 1))
+    sample = {k: f"`_at{k}`" if k else value for k in range(-reach, reach + 1)}
     sizes = _windows(p)
     size = "CASE " + " ".join(f"WHEN n_rows >= {w} THEN {w}" for w in sizes) + " END"
     first_row = "CASE _size " + " ".join(f"WHEN {w} THEN {sum(sizes[:i])}" for i, w in enumerate(sizes)) + " END"
     df = (
         df.withColumns(shifted)
-        .withColumns({"_samples": F.expr(f"array({samples})"), "_size": F.expr(size)})
+        .withColumn("_size", F.expr(size))
         .withColumn("_place", F.expr(
             "int(CASE WHEN row_idx < _size div 2 THEN row_idx"
             " WHEN row_idx >= n_rows - _size div 2 THEN row_idx - n_rows + _size ELSE _size div 2 END)"))
-        .withColumn("_fit", F.expr(f"int({first_row} + _place)"))
-        .withColumns({f"_w{d}": F.expr(f"get({_weight_table(d, p)}, _fit)") for d in set(outputs.values())})
+        .withColumn("_centred", F.expr(f"_size = {full} AND _place = {full // 2}"))
+        .withColumn("_samples", F.expr(
+            f"IF(_centred, NULL, slice(array({','.join(sample.values())}), {full} - _place, _size))"))
     )
     filtered = {}
     for name, derivative in outputs.items():
-        terms = " + ".join(
-            f"IF({j} < _size, get(_w{derivative}, {j}) * get(_samples, {reach + j} - _place), 0D)"
-            for j in range(p.smooth_window))
+        scale = (1.0 / p.accel_delta) ** derivative
+        centred = " + ".join(
+            f"{sample[k]} * {w * scale!r}D" for k, w in
+            zip(range(-(full // 2), full // 2 + 1), weights(full, p.smooth_order, full // 2, derivative)))
+        edge = (f"aggregate(zip_with(_samples, get({_weight_table(derivative, p)}, int({first_row} + _place)),"
+                " (sample, weight) -> sample * weight), 0D, (total, term) -> total + term)")
         short = "NULL" if derivative and p.short_track_accel == "null" else f"double({value})"
-        filtered[name] = F.expr(f"float(IF(_size IS NULL, {short}, {terms}))")
-    return df.withColumns(filtered).drop(
-        *shifted, "_samples", "_size", "_place", "_fit", *[f"_w{d}" for d in set(outputs.values())])
+        filtered[name] = F.expr(f"float(CASE WHEN _size IS NULL THEN {short} WHEN _centred THEN {centred} ELSE {edge} END)")
+    return df.withColumns(filtered).drop(*shifted, "_size", "_place", "_centred", "_samples")

@@ -32,16 +32,8 @@ def with_halo(df: DataFrame, position: str, size: int, before: int, after: int)
     if size < max(before, after):
         raise ValueError("pieces must be at least as long as their halo")
     pos = F.col(position)
-    own = piece_of(pos, size)
-    within = pos - own * size
-    targets = [F.struct(own.alias(PIECE), F.lit(False).alias(HALO))]
-    if before:
-        targets.append(F.when(within >= size - before, F.struct((own + 1).alias(PIECE), F.lit(True).alias(HALO))))
-    if after:
-        targets.append(F.when(within < after, F.struct((own - 1).alias(PIECE), F.lit(True).alias(HALO))))
-    copies = F.filter(F.array(*targets), lambda t: t.isNotNull())
-    return df.withColumn("_copy", F.explode(copies)).withColumns(
-        {PIECE: F.col(f"_copy.{PIECE}"), HALO: F.col(f"_copy.{HALO}")}).drop("_copy")
+    reached = F.sequence(piece_of(pos - after, size), piece_of(pos + before, size))
+    return df.withColumn(PIECE, F.explode(reached)).withColumn(HALO, F.col(PIECE) != piece_of(pos, size))
 
 
 def track_pieces(frames: DataFrame, p: Params, extra: Sequence[Column] = ()) -> DataFrame:
