@@ -17,17 +17,24 @@ from kerbline.plans.workspace import Workspace, open_workspace
 from kerbline.sources.raw import only_recordings, select_recordings
 
 KEYS = ("recordingId", "trackId", "frame")
-DECIMALS = 4
+SCALE = 10000
+# Columns that may hold infinity.
+UNBOUNDED = ("DRAC",)
 
 
 def neat(df: DataFrame) -> DataFrame:
-    """Common types for comparison: whole numbers as BIGINT, others as DOUBLE, rounded; infinity as null."""
+    """Common types for comparison: whole numbers as BIGINT, others as DOUBLE, rounded; infinity as null.
+
+    Rounds by plain arithmetic, since ``round`` goes through decimals, digit by digit.
+    """
     columns = []
     for field in df.schema.fields:
         name = f"`{field.name}`"
         if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
             wide = f"CAST({name} AS DOUBLE)"
-            columns.append(f"IF(abs({wide}) = double('Infinity'), NULL, round({wide}, {DECIMALS}) + 0D) AS {name}")
+            if field.name in UNBOUNDED:
+                wide = f"nullif({wide}, double('Infinity'))"
+            columns.append(f"floor({wide} * {SCALE} + 0.5D) / {SCALE}D AS {name}")
         elif isinstance(field.dataType, T.IntegralType):
             columns.append(f"CAST({name} AS BIGINT) AS {name}")
         else:

@@ -101,10 +101,10 @@ def resample(rows: DataFrame, anchored: DataFrame, names: list[str], window: tup
     helpers = {}
     for n in names:
         sample = F.when(F.col(n).isNotNull(), F.struct(F.col("offset").alias("at"), F.col(n).alias("value")))
-        back = event.orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ahead = event.orderBy("offset").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        helpers[f"_{n}_back"] = F.last(sample, ignorenulls=True).over(back)
-        helpers[f"_{n}_ahead"] = F.first(sample, ignorenulls=True).over(ahead)
+        running = (Window.unboundedPreceding, Window.currentRow)
+        latest = F.last(sample, ignorenulls=True)
+        helpers[f"_{n}_back"] = latest.over(event.orderBy("offset").rowsBetween(*running))
+        helpers[f"_{n}_ahead"] = latest.over(event.orderBy(F.desc("offset")).rowsBetween(*running))
         helpers[f"_{n}_count"] = F.count(n).over(event)
     return merged.withColumns(helpers).select(*EVENT, "offset", *[_interpolated(n).alias(n) for n in names])
 

@@ -59,22 +59,23 @@ def nearest_by_speed(probes: DataFrame, candidates: DataFrame, p: Params) -> Dat
 def _neighbours(timeline: DataFrame, p: Params) -> DataFrame:
     """Add the nearest candidate at or below (``_slower``) and above (``_faster``) each row."""
     sharded = shard(timeline, GROUP, ORDER, p.small_rows)
-    so_far = sharded.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = sharded.window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    running = (Window.unboundedPreceding, Window.currentRow)
+    latest = F.last("_entry", ignorenulls=True)
     local = sharded.df.withColumns({
-        "_slower": F.last("_entry", ignorenulls=True).over(so_far),
-        "_faster": F.first("_entry", ignorenulls=True).over(onward),
+        "_slower": latest.over(sharded.window().rowsBetween(*running)),
+        "_faster": latest.over(sharded.backward_window().rowsBetween(*running)),
     })
     if not sharded.ranged:
         return local
     # What other partitions offer: the last candidate of earlier ones, the first of later ones.
     ends = sharded.df.groupBy(*GROUP, PART).agg(
         F.max(_when_candidate()).alias("_top"), F.min(_when_candidate()).alias("_bottom"))
-    earlier = sharded.carry_window().rowsBetween(Window.unboundedPreceding, -1)
-    later = sharded.carry_window().rowsBetween(1, Window.unboundedFollowing)
+    others = (Window.unboundedPreceding, -1)
+    earlier = sharded.carry_window().rowsBetween(*others)
+    later = sharded.backward_carry_window().rowsBetween(*others)
     carried = ends.select(
         *GROUP, PART, F.last("_top", ignorenulls=True).over(earlier).alias("_carry_slower"),
-        F.first("_bottom", ignorenulls=True).over(later).alias("_carry_faster"))
+        F.last("_bottom", ignorenulls=True).over(later).alias("_carry_faster"))
     return null_safe_join(local, carried, [*GROUP, PART]).withColumns({
         "_slower": F.coalesce("_slower", "_carry_slower"), "_faster": F.coalesce("_faster", "_carry_faster"),
     })

@@ -30,9 +30,17 @@ class Sharded:
     def window(self):
         return Window.partitionBy(*self.group, PART).orderBy(*self.order)
 
+    def backward_window(self):
+        """The rows in opposite order. Looking ahead is a running frame here; a frame that ends at the
+        last row would be evaluated anew for every row."""
+        return Window.partitionBy(*self.group, PART).orderBy(*[F.desc_nulls_last(c) for c in self.order])
+
     def carry_window(self):
         return Window.partitionBy(*self.group).orderBy(PART)
 
+    def backward_carry_window(self):
+        return Window.partitionBy(*self.group).orderBy(F.desc(PART))
+
 
 def shard(df: DataFrame, group: Sequence[str], order: Sequence[str], small_rows: int,
           rows: int | None = None) -> Sharded:

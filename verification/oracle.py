@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 
-DECIMALS = 4
+SCALE = 10000
 
 
 def _fit_weights(window: int, place: int, derivative: int) -> list[float]:
@@ -31,7 +31,7 @@ def _weights(derivative: int) -> str:
 
 
 def _r(expression: str, name: str | None = None) -> str:
-    return f"round(CAST({expression} AS DOUBLE), {DECIMALS}) + 0.0 AS {name or expression}"
+    return f"floor(CAST({expression} AS DOUBLE) * {SCALE} + 0.5::DOUBLE) / {SCALE}::DOUBLE AS {name or expression}"
 
 
 def _rs(*names: str) -> str:
