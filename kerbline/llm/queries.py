@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kerbline.llm.byte_bpe import encode_documents, read_ranks
+from kerbline.llm.license_scan import scan_licenses
 from kerbline.llm.texts import table
+from kerbline.llm.url_filter import DEFAULT_PATTERNS, address_rule, judge_urls
+
+#: The rules that the URL query states.
+ADDRESS_RULES = tuple(address_rule(*r) for r in (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), ADDRESS_RULES + DEFAULT_PATTERNS)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +28,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             with_ids=False)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE: dict[str, str] = {}
