@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbline.llm.byte_bpe import encode_documents, read_ranks
 from kerbline.llm.license_scan import scan_licenses
+from kerbline.llm.risk_rules import judge
+from kerbline.llm.rule_ensemble import score_quality
 from kerbline.llm.texts import table
 from kerbline.llm.url_filter import DEFAULT_PATTERNS, address_rule, judge_urls
 
@@ -17,6 +19,12 @@ ADDRESS_RULES = tuple(address_rule(*r) for r in (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "failed_rules", "kept")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), ADDRESS_RULES + DEFAULT_PATTERNS)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -28,13 +36,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             with_ids=False)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
 ORACLE: dict[str, str] = {}
