@@ -11,7 +11,9 @@ from kerbline.llm.byte_bpe import encode_documents, read_ranks
 from kerbline.llm.license_scan import scan_licenses
 from kerbline.llm.risk_rules import judge
 from kerbline.llm.rule_ensemble import score_quality
+from kerbline.llm.secret_scan import scan_secrets
 from kerbline.llm.texts import table
+from kerbline.llm.toxicity import score_toxicity
 from kerbline.llm.url_filter import DEFAULT_PATTERNS, address_rule, judge_urls
 
 #: The rules that the URL query states.
@@ -36,6 +38,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             with_ids=False)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -48,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
