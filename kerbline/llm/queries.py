@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kerbline.llm.byte_bpe import encode_documents, read_ranks
+from kerbline.llm.decontamination import find_leaks
 from kerbline.llm.license_scan import scan_licenses
+from kerbline.llm.ngram_join import near_duplicates
 from kerbline.llm.risk_rules import judge
 from kerbline.llm.rule_ensemble import score_quality
 from kerbline.llm.secret_scan import scan_secrets
@@ -27,6 +29,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "failed_rules", "kept")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return joined.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), ADDRESS_RULES + DEFAULT_PATTERNS)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -46,6 +53,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -56,10 +67,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_join": op2_ngram_join,
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
