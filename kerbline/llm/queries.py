@@ -17,6 +17,7 @@ from kerbline.llm.secret_scan import scan_secrets
 from kerbline.llm.texts import table
 from kerbline.llm.toxicity import score_toxicity
 from kerbline.llm.url_filter import DEFAULT_PATTERNS, address_rule, judge_urls
+from kerbline.llm.wrappers import extract_pages
 
 #: The rules that the URL query states.
 ADDRESS_RULES = tuple(address_rule(*r) for r in (
@@ -57,6 +58,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
