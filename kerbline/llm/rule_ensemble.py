@@ -143,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fitted on the labelled rows outside the held-out fold, at most ``rows`` of them, chosen by the hash of the id."""
     sample = labelled(labels, "quality", key).where(~held_out(key)).orderBy(F.xxhash64(key), key).limit(rows)
     # At most ``rows`` ids and labels are broadcast, and one text of each id is measured.
-    graded = measured(docs.join(F.broadcast(sample), key).select(key, "label", text), key, "label", text=text)
+    graded = measured(docs.select(key, text).join(F.broadcast(sample), key), key, "label", text=text)
     least = graded.groupBy(key).agg(F.min(F.struct(*features(), "label")).alias("row")).select(key, "row.*")
     pairs = least.toPandas().sort_values(key)
     return fit({n: pairs[n].to_numpy(float) for n in features()}, pairs["label"].to_numpy(float))

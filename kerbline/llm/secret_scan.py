@@ -2,7 +2,7 @@
 
 One model is of random strings, one of ordinary identifiers and words. Both are first-order chains over ASCII letters,
 digits and the characters of keys, trained on labelled samples that the corpus itself gives: what the fixed forms catch is
-random, the other long tokens are ordinary. A token is a secret if its log-likelihood ratio, in all and per character, is
+random, other long tokens made of words are ordinary. A token is a secret if its log-likelihood ratio, in all and per character, is
 high enough. The counts cover the whole corpus; each task sums its own and hands on one row per class.
 """
 
@@ -26,6 +26,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=-]{16,}")
+#: What an ordinary long token is made of: words in lower case, capitalised or in capitals, and a number at the end.
+ORDINARY = re.compile(r"[A-Z]?[a-z]+(?:[_-]?[A-Z]?[a-z]{2,})*[_-]?[0-9]{0,4}|[A-Z]{2,}(?:[_-][A-Z]{2,})*[_-]?[0-9]{0,4}")
 WIDTH = len(ALPHABET) + 1  # and the start
 CODE = np.full(128, WIDTH - 1, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -73,7 +75,7 @@ class Ratio:
 
 
 def train(docs: DataFrame, text: str = "text") -> Ratio:
-    """Counts of both models over all texts. Smoothed by one for each transition, so that an empty corpus finds nothing."""
+    """Both models from counts over all texts. Without ordinary tokens the models are alike and find nothing."""
 
     def start():
         def handle(rows):
@@ -82,7 +84,7 @@ def train(docs: DataFrame, text: str = "text") -> Ratio:
                     found = base_spans(t)
                     yield from (("random", t[a:b].rpartition("=")[2].strip("\"' ") if k == "assign" else t[a:b])
                                 for a, b, k in found)
-                    yield from (("ordinary", t[a:b]) for a, b in free_tokens(t, found))
+                    yield from (("ordinary", t[a:b]) for a, b in free_tokens(t, found) if ORDINARY.fullmatch(t, a, b))
         return handle
 
     def tally(batches):
@@ -98,11 +100,20 @@ def train(docs: DataFrame, text: str = "text") -> Ratio:
     parts = docs.select(F.col(text)).mapInArrow(tally, "kind string, counts array<bigint>")
     summed = parts.select("kind", F.posexplode("counts").alias("place", "n")).groupBy("kind", "place").agg(F.sum("n").alias("n"))
     # Two tables of a fixed size.
-    counts = {kind: np.ones((WIDTH, WIDTH)) for kind in ("random", "ordinary")}
+    counts = {kind: np.zeros((WIDTH, WIDTH)) for kind in ("random", "ordinary")}
     for row in summed.where("n > 0").collect():
         counts[row.kind][divmod(row.place, WIDTH)] += row.n
-    chance = {kind: np.log(c / c.sum(1, keepdims=True)) for kind, c in counts.items()}
-    return Ratio((chance["random"] - chance["ordinary"]).ravel())
+    return Ratio((_chances(counts["random"], 0.5, 50.0) - _chances(counts["ordinary"], 0.0, 5.0)).ravel())
+
+
+def _chances(counts: np.ndarray, even: float, weight: float) -> np.ndarray:
+    """Logarithms of the transition probabilities: counts, smoothed by ``weight`` draws from the single characters.
+
+    Of these a share ``even`` is uniform, since random strings may use characters that the samples don't show.
+    """
+    single = (counts.sum(0) + 1) / (counts.sum() + WIDTH)
+    single = even / WIDTH + (1 - even) * single
+    return np.log((counts + weight * single) / (counts.sum(1, keepdims=True) + weight))
 
 
 def all_spans(text: str, ratio: Ratio) -> list[Span]:
