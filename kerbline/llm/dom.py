@@ -32,6 +32,8 @@ BOILERPLATE = frozenset(
     "cookie cookies consent gdpr notice notices alert alerts warning popup overlay modal newsletter subscribe subscription signup "
     "signin login paywall comment comments commentlist reply replies respond disqus discussion share sharing social related "
     "recommended recommendations widget widgets toolbar pagination pager skip copyright legal disclaimer hidden".split())
+#: Elements nested deeper become siblings, as in browsers.
+DEEPEST = 200
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -87,7 +89,7 @@ def parse(page: str | None) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
-        elif tag not in VOID and not attributes.endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
     return root
 

@@ -11,6 +11,7 @@ from kerbline.llm.byte_bpe import encode_documents, read_ranks
 from kerbline.llm.decontamination import find_leaks
 from kerbline.llm.license_scan import scan_licenses
 from kerbline.llm.ngram_join import near_duplicates
+from kerbline.llm.oracle import license_scan_sql, url_filter_sql
 from kerbline.llm.risk_rules import judge
 from kerbline.llm.rule_ensemble import score_quality
 from kerbline.llm.secret_scan import scan_secrets
@@ -82,4 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE: dict[str, str] = {}
+#: The other queries have no SQL form: they rest on trained models, MinHash, retrieval, tokens or page trees.
+ORACLE: dict[str, str] = {
+    "op3_url_filter": url_filter_sql(ADDRESS_RULES + DEFAULT_PATTERNS),
+    "op10_license_scan": license_scan_sql(),
+}

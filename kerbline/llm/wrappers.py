@@ -17,13 +17,13 @@ import json
 
 from pyspark.sql import DataFrame, functions as F
 
-from kerbline.llm.dom import Node, clean, parse, text_parts
+from kerbline.llm.dom import BLOCKS, Node, clean, parse, text_parts
 from kerbline.llm.texts import map_rows
 from kerbline.llm.url_filter import host_of
 from kerbline.operators.store import materialize
 
 #: Pages of a host to align, and different ones among them that a template node must be equal on.
-PAGES, LEAST_PAGES = 6, 4
+PAGES, LEAST_PAGES = 12, 8
 #: A region goes on into a child with so much of the varying text.
 REGION_SHARE = 0.8
 #: Nodes equal on all pages are no template if they make up more than this of the region: the pages are copies then.
@@ -103,13 +103,16 @@ def induce(pages: list[str]) -> dict:
             for mine, theirs in align(reference, other)[1]:
                 matched.setdefault(id(mine), []).append(theirs)
 
-    def constant(node: Folded) -> bool:
+    def constant(node: Folded) -> set[str]:
+        """Texts of a block that its partners have on all pages."""
         others = matched.get(id(node), [])
-        return (len(distinct) >= LEAST_PAGES and len(others) == len(distinct) - 1 and bool(node.texts)
-                and all(o.texts == node.texts for o in others))
+        if node.tag not in BLOCKS or len(distinct) < LEAST_PAGES or len(others) < len(distinct) - 1:
+            return set()
+        return set(node.texts).intersection(*(o.texts for o in others))
 
     def varying(node: Folded) -> int:
-        own = 0 if constant(node) else sum(map(len, node.texts)) + sum(len(t) for o in matched.get(id(node), []) for t in o.texts)
+        fixed = constant(node)
+        own = sum(len(t) for n in (node, *matched.get(id(node), [])) for t in n.texts if t not in fixed)
         return own + sum(map(varying, node.children.values()))
 
     node, path, total = reference, [], varying(reference)
@@ -119,7 +122,7 @@ def induce(pages: list[str]) -> dict:
             break
         node = inner
         path.append(node.label)
-    template = [t for n in _walk(node) if constant(n) for t in n.texts]
+    template = [t for n in _walk(node) for t in constant(n)]
     if sum(map(len, template)) > MOST_TEMPLATE * sum(map(len, _texts(node))):
         template = []
     return {"path": path, "template": sorted(set(map(digest, template)))}
@@ -148,7 +151,7 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     template = frozenset(wrapper["template"]) if wrapper else frozenset()
 
     def skip(node: Node) -> bool:
-        if node.marked or not template:
+        if node.marked or not template or node.tag not in BLOCKS:
             return node.marked
         own = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
         return bool(own) and digest(own) in template

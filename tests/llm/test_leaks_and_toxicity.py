@@ -128,7 +128,7 @@ def test_automaton_equals_edit_distance():
 def test_the_automaton_starts_anew_without_change(monkeypatch):
     monkeypatch.setattr(toxicity, "CACHE_ENTRIES", 16)
     lexicon = toxicity.Lexicon(("idiot", "worthless"))
-    assert [lexicon.match(w) for w in ("idiot", "idjot", "worthles", "wrthls", "wort", *(f"w{i}" for i in range(60)), "idiot")][:5] == [0, 1, 1, 2, None]
+    assert [lexicon.match(w) for w in ("idiot", "idjot", "worthles", "wrthles", "wort", *(f"w{i}" for i in range(60)), "idiot")][:5] == [0, 1, 1, 2, None]
     assert lexicon.match("idiot") == 0 and toxicity.Lexicon(()).match("a") is None
 
 
