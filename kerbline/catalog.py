@@ -11,13 +11,17 @@ from kerbline.functions.emissions import add_fuel_model, add_specific_power
 from kerbline.functions.kinematics import add_image_coordinates, recording_name
 from kerbline.functions.safety import add_interaction, add_safety
 from kerbline.operators.sampling import head_per_group, sample_keys, sample_rows
+from kerbline.operators.store import replacing
 from kerbline.operators.tracks import HALO
 from kerbline.plans import behaviour, checks, coupling, events, l1, mec, mec_report, profile, sweep, views
 from kerbline.plans.workspace import Workspace, open_workspace
 from kerbline.sources.raw import only_recordings, select_recordings
 
 KEYS = ("recordingId", "trackId", "frame")
-SCALE = 10000
+SCALE = 10_000
+# Small quantities are compared to more decimals.
+FINE_SCALE = 10_000_000
+FINE = ("cpf_fuel_rate_lps", "vsp_value", "vsp_co2_rate", "vsp_nox_rate", "E_cpf_fuel", "E_vsp_NOx", "E_fuel", "E_real_fuel", "E_base_fuel")
 # Columns that may hold infinity.
 UNBOUNDED = ("DRAC",)
 
@@ -34,7 +38,8 @@ def neat(df: DataFrame) -> DataFrame:
             wide = f"CAST({name} AS DOUBLE)"
             if field.name in UNBOUNDED:
                 wide = f"nullif({wide}, double('Infinity'))"
-            columns.append(f"floor({wide} * {SCALE} + 0.5D) / {SCALE}D AS {name}")
+            scale = FINE_SCALE if field.name in FINE else SCALE
+            columns.append(f"floor({wide} * {scale} + 0.5D) / {scale}D AS {name}")
         elif isinstance(field.dataType, T.IntegralType):
             columns.append(f"CAST({name} AS BIGINT) AS {name}")
         else:
@@ -43,7 +48,7 @@ def neat(df: DataFrame) -> DataFrame:
 
 
 def _keyed(ws: Workspace) -> DataFrame:
-    return l1.keyed_frames(ws.raw, ws.p).filter(~F.col(HALO))
+    return l1.keyed_frames(ws.raw, ws.p, ws.pieces).filter(~F.col(HALO))
 
 
 def _l1_keys(ws):
@@ -56,9 +61,7 @@ def _l1_unify(ws):
 
 
 def _l1_extents(ws):
-    frames = l1.frame_columns(ws.raw.tracks)
-    pieces = l1.track_table(frames, l1.track_dimension(ws.raw.tracks_meta), ws.p)
-    return l1.recording_table(ws.raw, pieces, ws.p)
+    return l1.recording_table(ws.raw, ws.pieces, ws.p)
 
 
 def _l1_minmax(ws):
@@ -66,26 +69,26 @@ def _l1_minmax(ws):
 
 
 def _l1_savgol(ws):
-    return l1.smoothed_frames(ws.raw, ws.p).select(*KEYS, "v_long_smooth", "a_long_smooth")
+    return ws.smoothed.select(*KEYS, "v_long_smooth", "a_long_smooth")
 
 
 def _l1_leader(ws):
-    return add_interaction(l1.with_leader(l1.smoothed_frames(ws.raw, ws.p))).select(
+    return add_interaction(l1.with_leader(ws.smoothed)).select(
         *KEYS, "leader_s_long", "leader_v_long", "leader_a_long", "dist_headway", "rel_velocity", "time_headway")
 
 
 def _l1_safety(ws):
-    led = add_interaction(l1.with_leader(l1.smoothed_frames(ws.raw, ws.p)))
+    led = add_interaction(l1.with_leader(ws.smoothed))
     return add_safety(led, ws.p).select(*KEYS, "TTC", "DRAC", "risk_level")
 
 
 def _l1_fuel(ws):
-    return add_fuel_model(l1.smoothed_frames(ws.raw, ws.p)).select(
+    return add_fuel_model(ws.smoothed).select(
         *KEYS, "vehicle_type", "v_kmh", "a_kmhps", "cpf_power_kw", "cpf_fuel_rate_lps", "cpf_co2_rate_gps")
 
 
 def _l1_vsp(ws):
-    return add_specific_power(add_fuel_model(l1.smoothed_frames(ws.raw, ws.p)), ws.p).select(
+    return add_specific_power(add_fuel_model(ws.smoothed), ws.p).select(
         *KEYS, "vsp_value", "vsp_co2_rate", "vsp_nox_rate")
 
 
@@ -99,7 +102,7 @@ def _kinds(ws):
 
 
 def _selected(ws):
-    ids = select_recordings("1-2,4", ws.p)
+    ids = select_recordings("1-2,4")
     return only_recordings(ws.l1, ids, strict=True).groupBy("recordingId").agg(F.count("*").alias("n_rows")).select(
         "*", recording_name(F.col("recordingId")).alias("name"))
 
@@ -124,7 +127,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "l1_ttc_drac_risk": _l1_safety,
     "l1_cpfm": _l1_fuel,
     "l1_vsp": _l1_vsp,
-    "l1_master": lambda ws: l1.master_frames(ws.raw, ws.p),
+    "l1_master": lambda ws: l1.master_frames(ws.raw, ws.p, ws.smoothed),
     "l2_islands": _islands,
     "l2_conflict_events": lambda ws: events.conflict_events(ws.l1, ws.p).drop("min_ttc_frame"),
     "l2_baseline_events": lambda ws: events.baseline_events(ws.l1, ws.p),
@@ -187,4 +190,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    return neat(CATALOG[name](open_workspace(spark, folder)))
+    """The query's result. Scratch tables that its last run in this session wrote are deleted."""
+    workspace = open_workspace(spark, folder)
+    with replacing(spark, f"{name} of {folder}"):
+        return neat(CATALOG[name](workspace))

@@ -47,16 +47,23 @@ def duration_bin(conf_duration: Column) -> Column:
     return _right_closed(conf_duration, DURATION_BINS, DURATION_LAST)
 
 
-def frame_seconds(dt: Column, default_rate: float) -> Column:
-    """Exact frame length: ``dt`` is stored in single precision, the frame rate behind it is not."""
-    rate = F.round(1 / F.when(dt > 0, dt.cast("double")), 3)
-    return F.coalesce(1 / rate, F.lit(1.0 / default_rate))
+def frame_seconds(columns: Sequence[str], default_rate: float) -> Column:
+    """Length of a row's frame: the exact one where the table has it, else ``dt``, else that of the default rate."""
+    exact = [F.col("frame_s")] if "frame_s" in columns else []
+    stored = [F.col("dt").cast("double")] if "dt" in columns else []
+    return F.coalesce(*[F.when(c > 0, c) for c in [*exact, *stored]], F.lit(1.0 / default_rate))
 
 
-def total_seconds(frame_length: Column) -> Column:
-    """Sum of frame lengths, free of the noise that would blur comparisons with thresholds."""
-    return F.round(F.sum(frame_length), 9)
+def total_seconds(frame_length: Column, known: Column, first: Column, last: Column, default_rate: float) -> Column:
+    """Sum of frame lengths, free of the noise of summing; without any ``known`` length the span of frames at the default rate."""
+    return F.when(known > 0, F.round(frame_length, 9)).otherwise((last - first + 1) / F.lit(float(default_rate)))
+
+
+def reaches(seconds: Column, threshold: float) -> Column:
+    """Whether a duration reaches a threshold; lengths stored in single precision are given their last digit."""
+    return seconds >= F.lit(float(threshold) * (1 - 1e-6))
 
 
 def integral(rate: Column, frame_length: Column) -> Column:
-    return F.sum(rate.cast("double") * frame_length)
+    """Rate times length, unknown rates counting nothing."""
+    return F.coalesce(F.sum(rate.cast("double") * frame_length), F.lit(0.0))

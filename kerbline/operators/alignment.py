@@ -41,8 +41,6 @@ def with_anchor(l1: DataFrame, spans: DataFrame, p: Params, fall_back_to_start:
     Only events whose table names no anchor touch the frames. What is left without one starts at its
     first frame, or is dropped.
     """
-    if spans.filter("anchor IS NULL").isEmpty():
-        return spans
     known = spans.filter("anchor IS NOT NULL")
     open_events = closed_spans(l1, spans.filter("anchor IS NULL").drop("anchor"))
     frames = l1.select("recordingId", "trackId", "frame", "TTC").filter("TTC IS NOT NULL")
@@ -59,8 +57,6 @@ def with_anchor(l1: DataFrame, spans: DataFrame, p: Params, fall_back_to_start:
 def closed_spans(l1: DataFrame, spans: DataFrame) -> DataFrame:
     """Give open sides the first and last frame of the vehicle's track."""
     half_open = spans.filter("_from IS NULL OR _upto IS NULL")
-    if half_open.isEmpty():
-        return spans
     tracks = l1.groupBy("recordingId", F.col("trackId").alias("ego_id")).agg(
         F.min("frame").alias("_first"), F.max("frame").alias("_last"))
     closed = half_open.join(tracks, ["recordingId", "ego_id"]).withColumns({
@@ -130,4 +126,4 @@ def peak_lag(rows: DataFrame, value: str, p: Params) -> DataFrame:
 def first_episodes(rows: DataFrame, limit: int) -> DataFrame:
     """Rows of the first ``limit`` episodes that have any, in (recording, event) order."""
     chosen = rows.select(*EVENT).distinct().orderBy(*EVENT).limit(limit)
-    return rows.join(F.broadcast(chosen) if limit <= 100_000 else chosen, list(EVENT), "left_semi")
+    return rows.join(chosen, list(EVENT), "left_semi")

@@ -8,21 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 
-def join_dimension(rows: DataFrame, dimension: DataFrame, on: Sequence[str], how: str, max_rows: int,
-                   known_rows: int | None = None) -> DataFrame:
-    """Join a dimension table; broadcast it when it has at most ``max_rows`` rows.
-
-    ``known_rows`` is an upper bound the caller can prove. Without one the rows are counted, no
-    further than the limit. A larger table goes through an ordinary shuffle join, where adaptive
-    execution splits skewed partitions.
-    """
-    if known_rows is None:
-        known_rows = dimension.limit(max_rows + 1).count()
-    if known_rows <= max_rows:
-        dimension = F.broadcast(dimension)
-    return rows.join(dimension, list(on), how)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; keeps the left side's key columns."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])

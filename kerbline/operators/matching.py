@@ -41,7 +41,7 @@ def nearest_by_speed(probes: DataFrame, candidates: DataFrame, p: Params) -> Dat
         *GROUP, F.col("probe_speed").alias("_speed"), F.lit(1).alias("_is_probe"), F.col("l2_event_id").alias("_tie"),
         F.lit(None).cast("struct<speed:double,base_id:bigint>").alias("_entry"), "l2_event_id", "probe_duration",
     ))
-    found = _neighbours(timeline, p).filter("_is_probe = 1")
+    found = _neighbours(timeline).filter("_is_probe = 1")
     options = F.explode(F.array("_slower", "_faster")).alias("_option")
     cost = (
         ((F.col("probe_duration") - F.col("cand_duration")) / p.match_duration_scale) ** 2
@@ -56,17 +56,15 @@ def nearest_by_speed(probes: DataFrame, candidates: DataFrame, p: Params) -> Dat
     )
 
 
-def _neighbours(timeline: DataFrame, p: Params) -> DataFrame:
+def _neighbours(timeline: DataFrame) -> DataFrame:
     """Add the nearest candidate at or below (``_slower``) and above (``_faster``) each row."""
-    sharded = shard(timeline, GROUP, ORDER, p.small_rows)
+    sharded = shard(timeline, GROUP, ORDER)
     running = (Window.unboundedPreceding, Window.currentRow)
     latest = F.last("_entry", ignorenulls=True)
     local = sharded.df.withColumns({
         "_slower": latest.over(sharded.window().rowsBetween(*running)),
         "_faster": latest.over(sharded.backward_window().rowsBetween(*running)),
     })
-    if not sharded.ranged:
-        return local
     # What other partitions offer: the last candidate of earlier ones, the first of later ones.
     ends = sharded.df.groupBy(*GROUP, PART).agg(
         F.max(_when_candidate()).alias("_top"), F.min(_when_candidate()).alias("_bottom"))

@@ -4,7 +4,6 @@ A window function gathers a whole group in one task. Here the rows are first ran
 (group, order), so that a large group spreads over many partitions of even size; each partition
 computes its part, and what earlier partitions carry over is one row per partition and group. The
 range-partitioned rows are written to a table, because the partition number is part of the result.
-Inputs proven small skip all that and use a plain window.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ class Sharded:
     df: DataFrame
     group: tuple[str, ...]
     order: tuple[str, ...]
-    ranged: bool
 
     def window(self):
         return Window.partitionBy(*self.group, PART).orderBy(*self.order)
@@ -42,23 +40,16 @@ class Sharded:
         return Window.partitionBy(*self.group).orderBy(F.desc(PART))
 
 
-def shard(df: DataFrame, group: Sequence[str], order: Sequence[str], small_rows: int,
-          rows: int | None = None) -> Sharded:
-    """Cut ``df`` into ordered partitions. ``rows`` is a proven bound on the row count, if there is one."""
-    if rows is None:
-        rows = df.count()
-    if rows <= small_rows:
-        return Sharded(df.withColumn(PART, F.lit(0)), tuple(group), tuple(order), False)
+def shard(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Sharded:
+    """Cut ``df`` into ordered partitions."""
     ranged = df.repartitionByRange(*group, *order).withColumn(PART, F.spark_partition_id())
-    return Sharded(materialize(ranged, "ranged"), tuple(group), tuple(order), True)
+    return Sharded(materialize(ranged, "ranged"), tuple(group), tuple(order))
 
 
 def running_total(sharded: Sharded, weight: Column, name: str) -> DataFrame:
     """Cumulative sum of ``weight`` within each group, in order, this row included."""
     inclusive = sharded.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sharded.df.withColumn(name, F.sum(weight).over(inclusive))
-    if not sharded.ranged:
-        return local.drop(PART)
     before = sharded.carry_window().rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         sharded.df.groupBy(*sharded.group, PART).agg(F.sum(weight).alias("_total"))
@@ -71,10 +62,6 @@ def running_total(sharded: Sharded, weight: Column, name: str) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, small_rows: int,
-                rows: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """1-based row number within each group; ``order`` must be unique within the group."""
-    sharded = shard(df, group, order, small_rows, rows)
-    if not sharded.ranged:
-        return sharded.df.withColumn(name, F.row_number().over(sharded.window()).cast("long")).drop(PART)
-    return running_total(sharded, F.lit(1).cast("long"), name)
+    return running_total(shard(df, group, order), F.lit(1).cast("long"), name)

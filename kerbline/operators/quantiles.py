@@ -13,19 +13,13 @@ Quantile = tuple[str, float, str]  # value column, probability, result name
 
 
 def summarise(df: DataFrame, group: Sequence[str], aggregates: Sequence[Column],
-              quantiles: Sequence[Quantile], small_rows: int, rows: int | None = None) -> DataFrame:
+              quantiles: Sequence[Quantile]) -> DataFrame:
     """``groupBy(group).agg(aggregates)`` plus linearly interpolated quantiles, nulls skipped.
 
-    ``percentile`` keeps every distinct value of a group in one buffer, so it serves only inputs of
-    at most ``small_rows`` rows. Beyond that equal values are counted first, the counts are
-    accumulated in range-partitioned order, and each quantile picks the two values its position
-    falls on.
+    ``percentile`` keeps every distinct value of a group in one buffer. Here equal values are counted
+    first, the counts are accumulated in range-partitioned order, and each quantile picks the two
+    values its position falls on.
     """
-    if rows is None:
-        rows = df.count()
-    if rows <= small_rows:
-        extra = [F.percentile(F.col(value).cast("double"), q).alias(name) for value, q, name in quantiles]
-        return df.groupBy(*group).agg(*aggregates, *extra)
     quantile_table = _distributed(df, group, quantiles)
     if not aggregates:
         return quantile_table
@@ -47,8 +41,7 @@ def _distributed(df: DataFrame, group: Sequence[str], quantiles: Sequence[Quanti
         .groupBy(*group, "_name", "_value").agg(F.count("*").alias("_n"))
     )
     keys = [*group, "_name"]
-    # small_rows = -1: the caller has already found the input too large for a plain window.
-    sharded = shard(counts, keys, ["_value"], small_rows=-1, rows=0)
+    sharded = shard(counts, keys, ["_value"])
     totals = sharded.df.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     ranked = null_safe_join(running_total(sharded, F.col("_n"), "_upto"), totals, keys)
 

@@ -16,7 +16,7 @@ TRACK = ("recordingId", "trackId")
 PIECE = "_piece"
 HALO = "_halo"
 # Working columns an L1 table carries besides the published ones.
-WORKING = ("row_idx", "n_rows", "lane_changed")
+WORKING = ("row_idx", "n_rows", "lane_changed", "frame_s")
 
 
 def piece_of(position: Column, size: int) -> Column:
@@ -102,10 +102,15 @@ def _pieced(l1: DataFrame, p: Params, before: int, after: int) -> DataFrame:
 
 
 def with_working_columns(l1: DataFrame, p: Params) -> DataFrame:
-    """Add the working columns to an L1 table that came without them."""
-    if set(WORKING) <= set(l1.columns):
+    """Add the working columns to an L1 table that came without them; without lanes no lane ever changes.
+
+    The exact frame length (``frame_s``) is not made up: where it is missing, lengths follow ``dt``.
+    """
+    if {"row_idx", "n_rows", "lane_changed"} <= set(l1.columns):
         return l1
     rows = _pieced(l1, p, before=1, after=0)
+    if "laneId_raw" not in rows.columns:
+        return rows.withColumn("lane_changed", F.lit(False)).filter(~F.col(HALO)).drop(HALO, PIECE)
     return rows.withColumn("lane_changed", lane_changed()).filter(~F.col(HALO)).drop(HALO, PIECE)
 
 

@@ -10,8 +10,7 @@ class Params:
     # Frame rate used where the recording metadata has none.
     frame_rate: float = 25.0
 
-    # Recordings in a full collection (``all`` in a selection) and in the quick test selection.
-    max_recording_id: int = 60
+    # Recordings of the quick test selection.
     test_recordings: tuple[int, ...] = (1,)
 
     # Smoothing: window length in rows and polynomial order.
@@ -70,11 +69,6 @@ class Params:
     # holds a whole track; interval joins meet in pieces of ``join_chunk`` frames.
     chunk_rows: int = 65536
     join_chunk: int = 256
-    # Inputs of at most this many rows may be ordered inside one window group or held in one
-    # aggregation buffer; larger ones take the range-partitioned way.
-    small_rows: int = 2_000_000
-    # Dimension tables of at most this many rows are broadcast; larger ones are shuffle-joined.
-    broadcast_rows: int = 200_000
 
     def frames(self, seconds: float) -> int:
         """Whole frames in a time span, halves to even."""

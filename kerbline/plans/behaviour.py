@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,14 +46,17 @@ def kinematic_extremes(l1: DataFrame, events: DataFrame, p: Params) -> DataFrame
 
 
 def scaled_features(events: DataFrame, features: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Events with a vector ``features_z`` of z-scores of the available features."""
+    """Events with a vector ``features_z`` of z-scores, over the population, of the available features."""
     used = [c for c in (features or FEATURES) if c in events.columns]
     if not used:
         raise ValueError("none of the clustering features is present")
-    doubles = events.withColumns({f"_f_{c}": F.col(c).cast("double") for c in used})
-    vectors = VectorAssembler(inputCols=[f"_f_{c}" for c in used], outputCol="_features").transform(doubles)
-    scaler = StandardScaler(withMean=True, withStd=True, inputCol="_features", outputCol="features_z")
-    return scaler.fit(vectors).transform(vectors).drop("_features", *[f"_f_{c}" for c in used]), used
+    number = {c: F.col(c).cast("double") for c in used}
+    spread = events.agg(*[F.avg(x).alias(f"mean_{c}") for c, x in number.items()],
+                        *[F.stddev_pop(x).alias(f"std_{c}") for c, x in number.items()]).first()
+    # A feature without spread is 0 everywhere.
+    z = {f"_z_{c}": (x - F.lit(spread[f"mean_{c}"])) / F.lit(spread[f"std_{c}"] or 1.0) for c, x in number.items()}
+    vectors = VectorAssembler(inputCols=list(z), outputCol="features_z").transform(events.withColumns(z))
+    return vectors.drop(*z), used
 
 
 def cluster_events(events: DataFrame, k: int = 3, seed: int = 0, features: list[str] | None = None) -> DataFrame:
@@ -73,7 +76,7 @@ def cluster_summary(clustered: DataFrame, p: Params) -> DataFrame:
     """Size and medians of each cluster."""
     used = ("min_TTC_conf", "conf_duration", "MEC_CO2_per_km")
     return summarise(clustered, ["cluster"], [F.count("*").alias("count")],
-                     [(c, 0.5, f"{c}_median") for c in used], p.small_rows).orderBy("cluster")
+                     [(c, 0.5, f"{c}_median") for c in used]).orderBy("cluster")
 
 
 def cluster_curves(l1: DataFrame, clustered: DataFrame, p: Params) -> DataFrame:

@@ -79,7 +79,7 @@ def headway_check(l1: DataFrame) -> DataFrame:
 def ttc_quantiles(l1: DataFrame, p: Params, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
     """TTC quantiles over closing pairs with a positive gap."""
     closing = l1.filter("precedingId > 0 AND rel_velocity > 0 AND dist_headway > 0").select("TTC")
-    return summarise(closing, [], [], [("TTC", lower, "q_low"), ("TTC", upper, "q_high")], p.small_rows)
+    return summarise(closing, [], [], [("TTC", lower, "q_low"), ("TTC", upper, "q_high")])
 
 
 def track_quality(l1: DataFrame) -> DataFrame:

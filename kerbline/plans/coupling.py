@@ -41,8 +41,7 @@ def aligned_curve(l1: DataFrame, conflicts: DataFrame, p: Params, max_episodes:
     curve = summarise(
         series, ["offset"],
         [F.avg("ttc").alias("TTC_mean"), F.avg("co2").alias("CO2_mean"), F.count("*").alias("n_episodes")],
-        [("ttc", 0.1, "TTC_p10"), ("ttc", 0.9, "TTC_p90"), ("co2", 0.1, "CO2_p10"), ("co2", 0.9, "CO2_p90")],
-        p.small_rows)
+        [("ttc", 0.1, "TTC_p10"), ("ttc", 0.9, "TTC_p90"), ("co2", 0.1, "CO2_p10"), ("co2", 0.9, "CO2_p90")])
     return curve.withColumn("t", F.col("offset") / p.frame_rate).orderBy("offset")
 
 
@@ -54,7 +53,7 @@ def lags(l1: DataFrame, conflicts: DataFrame, p: Params) -> DataFrame:
 def lag_stats(l1: DataFrame, conflicts: DataFrame, p: Params) -> DataFrame:
     return summarise(
         materialize(lags(l1, conflicts, p), "lags"), [], [F.avg("lag").alias("mean")],
-        [("lag", 0.5, "median"), ("lag", 0.1, "p10"), ("lag", 0.9, "p90")], p.small_rows)
+        [("lag", 0.5, "median"), ("lag", 0.1, "p10"), ("lag", 0.9, "p90")])
 
 
 def _is_severe(conflicts: DataFrame):

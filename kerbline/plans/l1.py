@@ -9,7 +9,6 @@ from kerbline.functions.kinematics import (
     add_image_coordinates, along_direction, along_road, encode_class, global_track_id,
 )
 from kerbline.functions.safety import add_interaction, add_safety
-from kerbline.operators.joins import join_dimension
 from kerbline.operators.smoothing import with_smoothed
 from kerbline.operators.store import materialize
 from kerbline.operators.tracks import HALO, PIECE, TRACK, WORKING, index_and_halo, lane_changed, track_pieces
@@ -75,20 +74,25 @@ def recording_table(raw: RawTables, pieces: DataFrame, p: Params) -> DataFrame:
         F.min("_y0").alias("min_y"),
         F.max(F.coalesce(F.col("_y1") + F.col("_meta_height"), "_yh")).alias("max_y"),
     )
-    rates = raw.recordings.select(F.col("id").cast("int").alias("recordingId"), "frameRate")
+    rate = F.col("frameRate") if "frameRate" in raw.recordings.columns else F.lit(None)
+    rates = raw.recordings.select(F.col("id").cast("int").alias("recordingId"), rate.cast("double").alias("frameRate"))
     return extents.join(rates, "recordingId", "left").withColumn(
         "frameRate", F.coalesce("frameRate", F.lit(p.frame_rate)))
 
 
-def keyed_frames(raw: RawTables, p: Params) -> DataFrame:
+def piece_table(raw: RawTables, p: Params) -> DataFrame:
+    return track_table(frame_columns(raw.tracks), track_dimension(raw.tracks_meta), p)
+
+
+def keyed_frames(raw: RawTables, p: Params, pieces: DataFrame | None = None) -> DataFrame:
     """Frames with metadata, unified coordinates, and row order; borders of pieces are duplicated as halo."""
     frames = frame_columns(raw.tracks)
-    pieces = track_table(frames, track_dimension(raw.tracks_meta), p)
+    pieces = piece_table(raw, p) if pieces is None else pieces
     reach = p.smooth_window - 1
     rows = index_and_halo(frames, pieces.drop(*_EXTENTS), p, before=reach, after=reach)
-    recordings = recording_table(raw, pieces, p)
-    rows = join_dimension(rows, recordings, ["recordingId"], "left", p.broadcast_rows, raw.recording_count(p))
-    return _unify(rows)
+    # Written first, so that its size is known when the frames are joined.
+    recordings = materialize(recording_table(raw, pieces, p), "recordings")
+    return _unify(rows.join(recordings, "recordingId", "left"))
 
 
 def _unify(rows: DataFrame) -> DataFrame:
@@ -100,6 +104,7 @@ def _unify(rows: DataFrame) -> DataFrame:
             "global_track_id": global_track_id(F.col("recordingId"), F.col("trackId")),
             "time": F.col("frame") / F.col("frameRate"),
             "dt": (1 / F.col("frameRate")).cast("float"),
+            "frame_s": 1 / F.col("frameRate"),
         })
         .withColumns({
             "s_long": along_road(F.col("x_raw"), F.col("width"), direction, F.col("max_x")),
@@ -112,9 +117,11 @@ def _unify(rows: DataFrame) -> DataFrame:
     )
 
 
-def smoothed_frames(raw: RawTables, p: Params) -> DataFrame:
-    rows = with_smoothed(keyed_frames(raw, p), "v_long_raw", {"v_long_smooth": 0, "a_long_smooth": 1}, p)
-    return rows.withColumn("lane_changed", lane_changed()).filter(~F.col(HALO)).drop(HALO, PIECE)
+def smoothed_frames(raw: RawTables, p: Params, pieces: DataFrame | None = None) -> DataFrame:
+    """Frames with smoothed motion, written as a table: vehicles and their leaders are both read from it."""
+    rows = with_smoothed(keyed_frames(raw, p, pieces), "v_long_raw", {"v_long_smooth": 0, "a_long_smooth": 1}, p)
+    rows = rows.withColumn("lane_changed", lane_changed()).filter(~F.col(HALO)).drop(HALO, PIECE)
+    return materialize(rows, "smoothed")
 
 
 def with_leader(rows: DataFrame) -> DataFrame:
@@ -133,14 +140,14 @@ def with_leader(rows: DataFrame) -> DataFrame:
         leaders, ["recordingId", "frame", "_leader"], "left").drop("_leader")
 
 
-def working_frames(raw: RawTables, p: Params) -> DataFrame:
-    """L1 with its working columns (row order, lane changes), from which the event stage continues."""
-    rows = with_leader(smoothed_frames(raw, p))
+def working_frames(raw: RawTables, p: Params, smoothed: DataFrame | None = None) -> DataFrame:
+    """L1 with its working columns (row order, lane changes, frame length), from which the event stage continues."""
+    rows = with_leader(smoothed_frames(raw, p) if smoothed is None else smoothed)
     rows = add_safety(add_interaction(rows), p)
     rows = add_specific_power(add_fuel_model(rows), p)
     return conform(add_image_coordinates(rows, p), L1, WORKING)
 
 
-def master_frames(raw: RawTables, p: Params) -> DataFrame:
+def master_frames(raw: RawTables, p: Params, smoothed: DataFrame | None = None) -> DataFrame:
     """L1 in its published form."""
-    return working_frames(raw, p).drop(*WORKING)
+    return working_frames(raw, p, smoothed).drop(*WORKING)

@@ -40,7 +40,7 @@ def episode_metrics(l1: DataFrame, events: dict[str, DataFrame], p: Params) -> D
     timed = "dt" in l1.columns
     frames = l1 if timed else with_shifted(l1, {"_before": ("time", -1), "_after": ("time", 1)}, p)
     wanted = ["recordingId", "trackId", "frame", "time", place, "v_long_smooth", *rates.values()]
-    wanted += ["dt"] if timed else ["_before", "_after"]
+    wanted += ["dt", "frame_s"] if timed else ["_before", "_after"]
     rows = slice_frames(
         frames.select(*[c for c in wanted if c in frames.columns]), spans, F.col("_from"), F.col("_upto"), p)
 
@@ -49,7 +49,7 @@ def episode_metrics(l1: DataFrame, events: dict[str, DataFrame], p: Params) -> D
             return F.lit(None).cast("double")
         amount = F.col(rate).cast("double")
         if timed:
-            seconds = F.when(F.col("dt").isNotNull(), frame_seconds(F.col("dt"), p.frame_rate))
+            seconds = F.when(F.col("dt").isNotNull(), frame_seconds(rows.columns, p.frame_rate))
             return F.coalesce(F.sum(amount * seconds), F.lit(0.0))
         # A frame lasts as long as the step from the frame before; the first one as long as the second.
         step = F.coalesce(amount * (F.col("time") - F.col("_before")), F.lit(0.0))

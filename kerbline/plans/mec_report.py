@@ -29,7 +29,7 @@ def normalise(mec: DataFrame, p: Params, order: tuple[str, ...] = ("rec_id", "eg
         if old in mec.columns and new not in mec.columns:
             mec = mec.withColumnRenamed(old, new)
     if "event_id" not in mec.columns:
-        mec = number_rows(mec, [], [c for c in order if c in mec.columns], "event_id", p.small_rows)
+        mec = number_rows(mec, [], [c for c in order if c in mec.columns], "event_id")
         mec = mec.withColumn("event_id", F.col("event_id") - 1)
     if "flow_state" not in mec.columns:
         mec = mec.withColumn("flow_state", F.lit(UNKNOWN))
@@ -60,7 +60,7 @@ def basic_stats(mec: DataFrame, p: Params) -> DataFrame:
     stats = summarise(
         rows, keys,
         [F.count(MEC).alias("count"), F.avg(MEC).alias("mean"), F.min(MEC).alias("min"), F.max(MEC).alias("max")],
-        [(MEC, 0.5, "median"), (MEC, 0.1, "q10"), (MEC, 0.9, "q90")], p.small_rows)
+        [(MEC, 0.5, "median"), (MEC, 0.1, "q10"), (MEC, 0.9, "q90")])
     overall = F.col("scope") == "overall"
     return stats.select(
         *keys, *[F.when(overall, F.col(c)).alias(c) for c in ("count", "mean")], "median",
@@ -103,12 +103,11 @@ def headline(mec: DataFrame, p: Params) -> DataFrame:
     finite = mec.select(F.when(F.abs(F.col(MEC)) < float("inf"), F.col(MEC)).alias(MEC))
     return summarise(
         finite, [], [F.count("*").alias("n_events")],
-        [(MEC, 0.5, "median"), (MEC, 0.1, "p10"), (MEC, 0.9, "p90")], p.small_rows)
+        [(MEC, 0.5, "median"), (MEC, 0.1, "p10"), (MEC, 0.9, "p90")])
 
 
 def bucket_medians(mec: DataFrame, p: Params) -> DataFrame:
-    medians = summarise(mec, ["MEC_bucket"], [F.count("*").alias("n_events")], [(MEC, 0.5, "median_MEC_CO2_per_km")],
-                        p.small_rows)
+    medians = summarise(mec, ["MEC_bucket"], [F.count("*").alias("n_events")], [(MEC, 0.5, "median_MEC_CO2_per_km")])
     return medians.orderBy("MEC_bucket")
 
 
@@ -119,7 +118,7 @@ def debug_summary(mec: DataFrame, p: Params) -> DataFrame:
         mec, [],
         [F.count("*").alias("n_events"), F.avg(MEC).alias("mec_per_km_mean"), F.min(MEC).alias("mec_per_km_min"),
          F.max(MEC).alias("mec_per_km_max"), F.avg(per_event).alias("mec_per_event_mean")],
-        [(MEC, 0.5, "mec_per_km_median"), (per_event, 0.5, "mec_per_event_median")], p.small_rows,
+        [(MEC, 0.5, "mec_per_km_median"), (per_event, 0.5, "mec_per_event_median")],
     ).select("n_events", "mec_per_km_mean", "mec_per_km_median", "mec_per_km_min", "mec_per_km_max",
              "mec_per_event_mean", "mec_per_event_median")
     buckets = bucket_medians(mec, p).select(F.col("MEC_bucket").alias("min_TTC_bucket"), "median_MEC_CO2_per_km")

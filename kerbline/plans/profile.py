@@ -62,7 +62,7 @@ def l2_profile(conflicts: DataFrame, baselines: DataFrame, p: Params) -> DataFra
     conf = summarise(
         conflicts, ["recordingId"], [F.count("*").alias("n_conf")],
         [("conf_duration", 0.5, "median_conf_duration"), ("min_TTC_conf", 0.5, "median_min_TTC_conf"),
-         ("E_cpf_CO2", 0.5, "median_E_cpf_CO2_conf")], p.small_rows)
+         ("E_cpf_CO2", 0.5, "median_E_cpf_CO2_conf")])
     base = baselines.groupBy("recordingId").agg(F.count("*").alias("n_base"))
     return conf.join(base, "recordingId", "full").select(
         F.col("recordingId").alias("rec_id"), F.coalesce("n_conf", F.lit(0)).alias("n_conf"),
@@ -75,7 +75,7 @@ def l2_overall(profile: DataFrame, p: Params) -> DataFrame:
     medians = ("median_conf_duration", "median_min_TTC_conf", "median_E_cpf_CO2_conf")
     return summarise(
         profile, [], [F.sum("n_conf").alias("total_conf"), F.sum("n_base").alias("total_base")],
-        [(c, 0.5, c) for c in medians], p.small_rows)
+        [(c, 0.5, c) for c in medians])
 
 
 def recording_summary(conflicts: DataFrame, baselines: DataFrame, p: Params) -> DataFrame:
@@ -84,7 +84,7 @@ def recording_summary(conflicts: DataFrame, baselines: DataFrame, p: Params) ->
     conf = summarise(
         conflicts, ["recordingId"],
         [F.count("*").alias("conflict_events"), *[F.sum(c).alias(f"{c}_sum") for c in used]],
-        [(c, 0.5, f"{c}_median") for c in used], p.small_rows)
+        [(c, 0.5, f"{c}_median") for c in used])
     base = baselines.groupBy("recordingId").agg(F.count("*").alias("baseline_events"))
     return conf.join(base, "recordingId", "full").select(
         F.col("recordingId").alias("recording"),
@@ -108,7 +108,7 @@ def describe(df: DataFrame, fields: Sequence[str], p: Params, by: Sequence[str]
         rows, [*by, "field"],
         [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
          F.min("value").alias("min"), F.max("value").alias("max")],
-        [("value", 0.25, "q25"), ("value", 0.5, "q50"), ("value", 0.75, "q75")], p.small_rows)
+        [("value", 0.25, "q25"), ("value", 0.5, "q50"), ("value", 0.75, "q75")])
 
 
 def describe_events(conflicts: DataFrame, baselines: DataFrame, p: Params) -> DataFrame:

@@ -25,14 +25,14 @@ from kerbline.schemas import BASELINES, CONFLICTS, L1
 from kerbline.sources.raw import read_raw
 from kerbline.sources.tables import read_recordings, write_csv, write_recordings, write_table
 
-_WORKING_TYPES = {"row_idx": T.LongType(), "n_rows": T.LongType(), "lane_changed": T.BooleanType()}
+_WORKING_TYPES = {"row_idx": T.LongType(), "n_rows": T.LongType(), "lane_changed": T.BooleanType(), "frame_s": T.DoubleType()}
 L1_STORED = T.StructType(L1.fields + [T.StructField(c, _WORKING_TYPES[c], True) for c in WORKING])
 CONFLICTS_STORED = T.StructType(CONFLICTS.fields + [T.StructField("min_ttc_frame", T.LongType(), True)])
 
 
 def build_frames(spark: SparkSession, raw_folder: str, out: str, p: Params = Params(),
                  ids: Sequence[int] | None = None) -> None:
-    write_recordings(l1.working_frames(read_raw(spark, raw_folder, ids), p), f"{out}/l1")
+    write_recordings(l1.working_frames(read_raw(spark, raw_folder, ids), p), f"{out}/l1", ids)
 
 
 def read_frames(spark: SparkSession, out: str, ids: Sequence[int] | None = None, strict: bool = False) -> DataFrame:
@@ -45,8 +45,8 @@ def build_event_tables(spark: SparkSession, out: str, p: Params = Params(), ids:
     changes = {"ttc_conflict": ttc_conflict, "min_conflict_duration": min_duration}
     p = replace(p, **{name: value for name, value in changes.items() if value is not None})
     conflicts, baselines = events.build_events(read_frames(spark, out, ids, strict=ids is not None), p)
-    write_recordings(conflicts, f"{out}/conflicts")
-    write_recordings(baselines, f"{out}/baselines")
+    write_recordings(conflicts, f"{out}/conflicts", ids)
+    write_recordings(baselines, f"{out}/baselines", ids)
 
 
 def read_events(spark: SparkSession, out: str, ids: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:

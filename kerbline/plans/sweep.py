@@ -24,11 +24,11 @@ def threshold_sweep(l1: DataFrame, p: Params, ttc_levels: Sequence[float] = TTC_
         conflict_windows(l1, p, ttc_levels, min(levels)).select(
             F.col(THRESHOLD).alias("TTC_thr"), "conf_duration", "min_TTC_conf", "E_cpf_CO2"), "sweep")
     every = F.array(*[F.lit(d) for d in levels])
-    reached = F.filter(every, lambda d: F.col("conf_duration") >= d)
+    reached = F.filter(every, lambda d: F.col("conf_duration") >= d * (1 - 1e-6))
     cells = summarise(
         events.withColumn("dur_thr", F.explode(reached)), ["TTC_thr", "dur_thr"], [F.count("*").alias("n_conf")],
         [("min_TTC_conf", 0.5, "med_min_TTC_conf"), ("conf_duration", 0.5, "med_conf_dur"),
-         ("E_cpf_CO2", 0.5, "med_E_CO2")], p.small_rows)
+         ("E_cpf_CO2", 0.5, "med_E_CO2")])
     grid = l1.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(float(t)) for t in ttc_levels])).alias("TTC_thr"), every.alias("_d"),
     ).select("TTC_thr", F.explode("_d").alias("dur_thr"))

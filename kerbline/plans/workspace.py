@@ -6,10 +6,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.operators.store import materialize
+from kerbline.operators.store import kept, materialize
 from kerbline.params import Params
 from kerbline.plans.events import baseline_events, conflict_events
-from kerbline.plans.l1 import working_frames
+from kerbline.plans.l1 import piece_table, smoothed_frames, working_frames
 from kerbline.plans.mec import match_baselines
 from kerbline.sources.activity import ACTIVITY_PARAMS, read_activity
 from kerbline.sources.raw import RawTables
@@ -27,16 +27,25 @@ class Workspace:
     def table(self, name: str, build):
         """The table of that name, built at its first use."""
         if name not in self._tables:
-            self._tables[name] = build()
+            with kept():
+                self._tables[name] = build()
         return self._tables[name]
 
     @property
     def raw(self) -> RawTables:
         return self.table("raw", lambda: read_activity(self.spark, self.folder, self.p))
 
+    @property
+    def pieces(self) -> DataFrame:
+        return self.table("pieces", lambda: piece_table(self.raw, self.p))
+
+    @property
+    def smoothed(self) -> DataFrame:
+        return self.table("smoothed", lambda: smoothed_frames(self.raw, self.p, self.pieces))
+
     @property
     def l1(self) -> DataFrame:
-        return self.table("l1", lambda: materialize(working_frames(self.raw, self.p), "l1"))
+        return self.table("l1", lambda: materialize(working_frames(self.raw, self.p, self.smoothed), "l1"))
 
     @property
     def conflicts(self) -> DataFrame:
@@ -52,11 +61,14 @@ class Workspace:
             match_baselines(self.l1, self.conflicts, self.baselines, self.p), "mec"))
 
     def readable(self) -> bool:
-        """Whether all stage tables are still where they were written."""
+        """Whether the stage tables are still there: each is asked for its first row."""
         frames = [t for t in self._tables.values() if isinstance(t, DataFrame)]
         frames += [t for raw in self._tables.values() if isinstance(raw, RawTables)
                    for t in (raw.tracks, raw.tracks_meta)]
-        return all(_stamp(self.spark, path) is not None for frame in frames for path in frame.inputFiles()[:1])
+        try:
+            return all(frame.select(frame.columns[0]).limit(1).collect() is not None for frame in frames)
+        except Exception:
+            return False
 
 
 def _stamp(spark: SparkSession, path: str) -> tuple | None:

@@ -20,7 +20,7 @@ ACTIVITY_PARAMS = Params(frame_rate=1.0, min_conflict_duration=2.0, consecutive_
 def activity_frames(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> DataFrame:
     """Number each user's events in time order, whatever share of the events one user holds."""
     used = events.select("user_id", "ts", "event_id", "event_type", "value")
-    return number_rows(used, ["user_id"], ["ts", "event_id"], "frame", p.small_rows)
+    return number_rows(used, ["user_id"], ["ts", "event_id"], "frame")
 
 
 def activity_tables(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> RawTables:
@@ -54,7 +54,7 @@ def activity_tables(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> RawTables
     )
     recordings = spark.range(1, RECORDINGS + 1).select(
         F.col("id").cast("int").alias("id"), F.lit(p.frame_rate).alias("frameRate"))
-    return RawTables(recordings, materialize(tracks_meta, "vehicles"), materialize(tracks, "tracks"), RECORDINGS)
+    return RawTables(recordings, materialize(tracks_meta, "vehicles"), materialize(tracks, "tracks"))
 
 
 def read_activity(spark: SparkSession, folder: str, p: Params = ACTIVITY_PARAMS) -> RawTables:

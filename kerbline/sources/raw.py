@@ -19,22 +19,13 @@ class RawTables:
     recordings: DataFrame
     tracks_meta: DataFrame
     tracks: DataFrame
-    # Upper bound on the number of recordings, where the source knows one.
-    max_recordings: int | None = None
 
-    def recording_count(self, p: Params) -> int:
-        if self.max_recordings is not None:
-            return self.max_recordings
-        return self.recordings.limit(p.broadcast_rows + 1).count()
 
-
-def select_recordings(spec: str | None, p: Params = Params()) -> list[int] | None:
-    """``all``, ``1,2`` or ``1-3,5`` as ids; None for an empty specification."""
+def select_recordings(spec: str | None) -> list[int] | None:
+    """``1,2`` or ``1-3,5`` as ids; None, which is no filter, for ``all`` and for an empty specification."""
     text = (spec or "").strip()
-    if not text:
+    if not text or text.lower() == "all":
         return None
-    if text.lower() == "all":
-        return list(range(1, p.max_recording_id + 1))
     ids: set[int] = set()
     for part in filter(None, (piece.strip() for piece in text.split(","))):
         low, dash, high = part.partition("-")
@@ -42,11 +33,11 @@ def select_recordings(spec: str | None, p: Params = Params()) -> list[int] | Non
     return sorted(ids)
 
 
-def resolve_recordings(ids: Sequence[int] | None, test_mode: bool, p: Params = Params()) -> list[int]:
-    """The ids asked for; else the test selection or the whole collection."""
+def resolve_recordings(ids: Sequence[int] | None, test_mode: bool, p: Params = Params()) -> list[int] | None:
+    """The ids asked for; else the test selection, or None for whatever is there."""
     if ids:
         return list(ids)
-    return list(p.test_recordings) if test_mode else list(range(1, p.max_recording_id + 1))
+    return list(p.test_recordings) if test_mode else None
 
 
 def only_recordings(df: DataFrame, ids: Sequence[int] | None, strict: bool = False,
@@ -61,7 +52,8 @@ def only_recordings(df: DataFrame, ids: Sequence[int] | None, strict: bool = Fal
     if strict:
         wanted = df.sparkSession.createDataFrame([(int(i),) for i in ids], T.StructType(
             [T.StructField(column, T.IntegerType())]))
-        missing = wanted.join(kept.select(column), column, "left_anti").distinct().orderBy(column).take(20)
+        # One row per recording meets the list, which is no longer than what was asked for.
+        missing = wanted.distinct().join(kept.select(column).distinct(), column, "left_anti").orderBy(column).collect()
         if missing:
             raise FileNotFoundError(f"recordings not found: {[row[0] for row in missing]}")
     return kept
@@ -69,13 +61,17 @@ def only_recordings(df: DataFrame, ids: Sequence[int] | None, strict: bool = Fal
 
 def _csv(spark: SparkSession, schema: T.StructType, folder: str, suffix: str,
          ids: Sequence[int] | None) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    reader = reader.option("nanValue", "NaN").option("pathGlobFilter", f"*_{suffix}.csv")
-    if ids is None:
-        df = reader.csv(folder)
-    else:
-        df = reader.csv([f"{folder}/{int(i):02d}_{suffix}.csv" for i in ids])
-    doubles = [f.name for f in schema.fields if f.dataType == T.DoubleType()]
+    """The columns that the files have, in the types of ``schema``; those it does not know are text.
+
+    All files of a kind must have one header, else Spark raises an error.
+    """
+    paths = folder if ids is None else [f"{folder}/{int(i):02d}_{suffix}.csv" for i in ids]
+    options = {"header": True, "nanValue": "NaN", "pathGlobFilter": f"*_{suffix}.csv"}
+    known = {f.name: f.dataType for f in schema.fields}
+    header = spark.read.options(**options).csv(paths).columns
+    present = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
+    df = spark.read.schema(present).options(**options, enforceSchema=False).csv(paths)
+    doubles = [f.name for f in present.fields if f.dataType == T.DoubleType()]
     return df.withColumns({c: F.nanvl(c, F.lit(None)) for c in doubles})
 
 
@@ -102,5 +98,4 @@ def read_raw(spark: SparkSession, folder: str, ids: Sequence[int] | None = None)
         read_recording_meta(spark, folder, ids),
         read_tracks_meta(spark, folder, ids),
         read_tracks(spark, folder, ids),
-        None if ids is None else len(ids),
     )

@@ -7,18 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from kerbline.operators.store import delete_folder
 from kerbline.sources.raw import only_recordings
 
-ONE_FILE_ROWS = 1_000_000
 
+def write_recordings(df: DataFrame, path: str, ids: Sequence[int] | None = None, column: str = "recordingId") -> None:
+    """Parquet partitioned by recording; replaces the recordings that are written and leaves the others.
 
-def write_recordings(df: DataFrame, path: str, mode: str = "overwrite", column: str = "recordingId") -> None:
-    """Parquet partitioned by recording.
-
-    Rows are rebalanced by recording first: few files per recording, and a recording that holds a
-    large share of all rows is split over several writers.
+    ``ids`` are the recordings that were asked for: their former rows go, also where there are no new ones. Without
+    ``ids`` the table is replaced whole. Rows are rebalanced by recording first: few files per recording, and a
+    recording that holds a large share of all rows is split over several writers.
     """
-    df.hint("rebalance", column).write.mode(mode).partitionBy(column).parquet(path)
+    rows = df.hint("rebalance", column)
+    if ids is None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(column).parquet(path)
+        return
+    for number in ids:
+        delete_folder(df.sparkSession, f"{path}/{column}={int(number)}")
+    rows.write.mode("append").partitionBy(column).parquet(path)
 
 
 def read_recordings(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -37,7 +43,5 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with header; one file while the table is small."""
-    if df.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS:
-        df = df.coalesce(1)
+    """A folder of CSV files with header, as many as the table has partitions."""
     df.write.mode(mode).option("header", True).csv(path)

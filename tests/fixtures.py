@@ -29,7 +29,6 @@ def raw_tables(spark, frames, vehicles, rates=((1, 25.0),)) -> RawTables:
         spark.createDataFrame(list(rates), "id int, frameRate double"),
         spark.createDataFrame(vehicles, META_SCHEMA),
         spark.createDataFrame(frames, FRAME_SCHEMA),
-        len(rates),
     )
 
 

@@ -10,6 +10,7 @@ from kerbline.plans.workspace import Workspace, open_workspace
 from kerbline.sources.activity import ACTIVITY_PARAMS, activity_frames
 from tests.conftest import SMALL
 from verification.compare import connect, difference
+from verification.oracle import ORACLE
 
 NO_SQL = {"clusters", "cluster_summary", "cluster_curves"}
 
@@ -22,7 +23,7 @@ def sql():
 @pytest.fixture(scope="module")
 def answers(sql):
     found = {}
-    for name, text in contract.oracle_sql().items():
+    for name, text in ORACLE.items():
         result = sql.execute(text)
         found[name] = ([c[0] for c in result.description], result.fetchall())
     return found
@@ -30,17 +31,17 @@ def answers(sql):
 
 @pytest.fixture(scope="module")
 def scattered(spark):
-    """Every operator on its way for large inputs: small pieces, ranged order, no broadcasts."""
-    p = replace(ACTIVITY_PARAMS, chunk_rows=16, join_chunk=8, small_rows=-1, broadcast_rows=0)
+    """Every operator with tracks in many small pieces."""
+    p = replace(ACTIVITY_PARAMS, chunk_rows=16, join_chunk=8)
     return Workspace(spark, SMALL, p)
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == NO_SQL
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(catalog.CATALOG) - set(ORACLE) == NO_SQL
+    assert set(ORACLE) <= set(catalog.CATALOG) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(catalog.CATALOG))
 def test_query_equals_sql(spark, answers, name):
     df = contract.queries()[name](spark, SMALL)
     rows = [tuple(r) for r in df.collect()]
@@ -75,6 +76,10 @@ def test_frame_numbers_with_one_dominant_user(spark):
     events = spark.range(3000).selectExpr(
         "id AS event_id", "IF(id % 3 = 0, id % 5, 7) AS user_id", "timestamp_seconds(id % 11) AS ts", "'view' AS event_type",
         "1.0D AS value")
-    both = [sorted((r.event_id, r.frame) for r in activity_frames(events, replace(ACTIVITY_PARAMS, small_rows=n)).collect())
-            for n in (-1, 10**6)]
-    assert both[0] == both[1]
+    found = sorted((r.event_id, r.frame) for r in activity_frames(events).collect())
+    rows = events.collect()
+    place = {}
+    for user in {r.user_id for r in rows}:
+        own = sorted((r.ts, r.event_id) for r in rows if r.user_id == user)
+        place |= {event: n for n, (_, event) in enumerate(own, 1)}
+    assert found == sorted(place.items())

@@ -19,22 +19,33 @@ def results(df, expression):
     return [r[0] for r in df.select(expression).collect()]
 
 
-def test_power_grows_with_speed_and_acceleration(spark):
-    df = spark.createDataFrame([(0, 0.0, 0.0), (1, 5.0, 0.2), (2, 10.0, 0.5)], "i int, v double, a double").orderBy("i")
-    power = results(df, emissions.traction_power_kw(F.col("v"), F.col("a"), F.lit("LDV")))
-    assert power[0] <= power[1] <= power[2]
-    v, a = 10.0, 0.5
-    force = 1453 * 1.04 * a + 1453 * 9.80665 * 1.75 / 1000 * (0.0328 * v * 3.6 + 4.575) + 0.5 * 1.2256 * 2.32 * 0.3 * v * v
-    assert power[2] == pytest.approx(force * v / 920)
-
-
-def test_fuel_and_co2_grow_with_power(spark):
-    df = column(spark, [0.0, 10.0, 50.0, -5.0, None])
-    fuel = results(df, emissions.fuel_lps(F.col("x"), F.lit("HDDT")))
-    co2 = results(df, emissions.co2_gps(emissions.fuel_lps(F.col("x"), F.lit("HDDT")), F.lit("HDDT")))
-    assert 0 <= fuel[0] < fuel[1] < fuel[2] and co2[2] > co2[1] > co2[0] >= 0
-    assert fuel[3] == fuel[4] == fuel[0] == pytest.approx(4.7738e-4)
-    assert co2[1] == pytest.approx(fuel[1] * 2680)
+def power_by_hand(v, a, mass, drag, front, rolling, rotating=1.04, drive=0.92):
+    """Resistance forces in newtons times speed, in kilowatts."""
+    roll = mass * 9.80665 * rolling / 1000 * (0.0328 * v * 3.6 + 4.575)
+    air = 0.5 * 1.2256 * drag * front * v * v
+    return (mass * rotating * a + roll + air) * v / drive / 1000
+
+
+@pytest.mark.parametrize("acceleration", [-3.0, -0.4, 0.0, 0.9])
+def test_power_of_several_speeds(spark, acceleration):
+    speeds = [0.0, 3.0, 13.9, 25.0, 41.5]
+    df = column(spark, speeds)
+    power = results(df, emissions.traction_power_kw(F.col("x"), F.lit(acceleration), F.lit("LDV")))
+    assert power == pytest.approx([power_by_hand(v, acceleration, 1453, 0.3, 2.32, 1.75) for v in speeds])
+    assert power[0] == 0 and (power[3] < 0) == (acceleration < 0)
+
+
+@pytest.mark.parametrize("category", ["LDV", "HDDT"])
+def test_fuel_of_idle_braking_and_load(spark, category):
+    df = column(spark, [-40.0, 0.0, None, 7.5, 22.0, 80.0, 160.0])
+    lps = emissions.fuel_lps(F.col("x"), F.lit(category))
+    idle, zero, unknown, *load = results(df, lps)
+    assert idle == zero == unknown > 0 and all(low < high for low, high in zip([idle, *load], load))
+    # A parabola in power: the third differences of equal steps vanish.
+    steps = results(column(spark, [10.0, 20.0, 30.0, 40.0]), lps)
+    assert steps[3] - 3 * steps[2] + 3 * steps[1] - steps[0] == pytest.approx(0, abs=1e-12)
+    per_litre = {"LDV": 2310, "HDDT": 2680}[category]
+    assert results(df, emissions.co2_gps(lps, F.lit(category))) == pytest.approx([per_litre * f for f in [idle, zero, unknown, *load]])
 
 
 def test_category_and_class_codes(spark):
@@ -105,11 +116,35 @@ def test_rates_guard_their_denominator(spark):
     assert results(df, rates.per_second(F.lit(10.0), F.col("x"))) == [0.005, None, 1e7, None, None]
 
 
-@pytest.mark.parametrize("rate", [25.0, 29.97, 30.0, 10.0])
-def test_durations_are_exact_multiples_of_the_frame(spark, rate):
-    frames = spark.range(15).select(F.lit(1 / rate).cast("float").alias("dt"))
-    total = frames.agg(rates.total_seconds(rates.frame_seconds(F.col("dt"), 25.0))).first()[0]
-    assert total == round(15 / rate, 9)
+LENGTHS = [0.04, 1 / 29.97, 3.0, 7.0, 60.0, 2500.0]
+
+
+@pytest.mark.parametrize("length", LENGTHS)
+def test_durations_are_sums_of_frame_lengths(spark, length):
+    def total(frames, known=F.lit(1)):
+        seconds = rates.frame_seconds(frames.columns, 25.0)
+        return frames.agg(rates.total_seconds(F.sum(seconds), F.max(known), F.min("id"), F.max("id"), 25.0)).first()[0]
+
+    rows = spark.range(15)
+    stored = rows.select("id", F.lit(length).cast("float").alias("dt"))
+    assert total(stored.withColumn("frame_s", F.lit(length))) == round(15 * length, 9)
+    assert total(stored) == pytest.approx(15 * length, rel=1e-7)
+    assert total(stored.filter("id % 2 = 0")) == pytest.approx(8 * length, rel=1e-7)
+    unknown = stored.withColumn("dt", F.lit(None).cast("float"))
+    assert total(unknown.filter("id % 2 = 0"), F.lit(0)) == 15 / 25  # the span of frames at the default rate
+    assert total(rows.withColumn("dt", F.lit(0.0))) == pytest.approx(15 / 25)
+
+
+@pytest.mark.parametrize("length", LENGTHS)
+def test_thresholds_are_reached_in_single_precision(spark, length):
+    stored = spark.range(10).select(F.lit(length).cast("float").cast("double").alias("dt")).agg(F.sum("dt").alias("d"))
+    assert stored.select(rates.reaches(F.col("d"), 10 * length), rates.reaches(F.col("d"), 10.01 * length)).first() == (True, False)
+
+
+def test_unknown_rates_count_nothing(spark):
+    df = spark.createDataFrame([(1, None), (1, 2.0), (2, None)], "g int, r double")
+    sums = dict(df.groupBy("g").agg(rates.integral(F.col("r"), F.lit(0.5))).collect())
+    assert sums == {1: 1.0, 2: 0.0}
 
 
 def test_names_of_recordings(spark):

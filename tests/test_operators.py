@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from kerbline.operators.alignment import resample
 from kerbline.operators.hexbin import hexbin
 from kerbline.operators.intervals import hop_windows, runs, slice_frames
-from kerbline.operators.joins import join_dimension
 from kerbline.operators.matching import nearest_by_speed
 from kerbline.operators.ordered import number_rows
 from kerbline.operators.quantiles import summarise
@@ -20,7 +19,7 @@ from kerbline.operators.tracks import HALO, index_and_halo, track_pieces, with_s
 from kerbline.params import Params
 from tests.fixtures import random_world, savgol
 
-TINY = Params(chunk_rows=16, join_chunk=4, small_rows=-1, broadcast_rows=0)
+TINY = Params(chunk_rows=16, join_chunk=4)
 
 
 def track_frame(spark, gaps):
@@ -145,18 +144,17 @@ def test_slices_equal_nested_loops(spark):
                            if (frec, ft) == (rec, track) and s <= f <= e)
 
 
-@pytest.mark.parametrize("small_rows", [-1, 1_000_000])
-def test_numbering_with_a_dominant_group(spark, small_rows):
+def test_numbering_with_a_dominant_group(spark):
     rows = [(0 if i % 3 else i % 7, (i * 37) % 5, i) for i in range(4000)]
     df = spark.createDataFrame(rows, "g int, t int, i int").repartition(7)
-    got = {r.i: r.n for r in number_rows(df, ["g"], ["t", "i"], "n", small_rows).collect()}
+    got = {r.i: r.n for r in number_rows(df, ["g"], ["t", "i"], "n").collect()}
     for group in {g for g, _, _ in rows}:
         order = sorted((t, i) for g, t, i in rows if g == group)
         assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
 
 
 def test_numbering_without_group(spark):
-    got = number_rows(spark.range(500).repartition(6), [], ["id"], "n", -1).collect()
+    got = number_rows(spark.range(500).repartition(6), [], ["id"], "n").collect()
     assert all(r.n == r.id + 1 for r in got) and len(got) == 500
 
 
@@ -167,25 +165,22 @@ def test_distributed_quantiles_equal_numpy(spark):
     rows += [(7, None, None), (8, 1.5, None)]
     df = spark.createDataFrame(rows, "g int, a double, b double")
     wanted = [("a", 0.1, "a10"), ("a", 0.5, "a50"), ("b", 0.9, "b90")]
-    for small in (-1, 10**6):
-        out = {r.g: r for r in summarise(df, ["g"], [F.count("*").alias("n")], wanted, small).collect()}
-        assert set(out) == {None, 0, 1, 2, 7, 8}
-        for g in out:
-            for column, q, name in wanted:
-                values = [r[1 if column == "a" else 2] for r in rows if r[0] == g]
-                values = [v for v in values if v is not None]
-                want = np.percentile(values, q * 100) if values else None
-                assert out[g][name] == (None if want is None else pytest.approx(want, rel=1e-12))
-            assert out[g].n == sum(r[0] == g for r in rows)
-        total = summarise(df, [], [F.count("*").alias("n")], [("a", 0.25, "q")], small).first()
-        assert total.n == len(rows)
-        assert total.q == pytest.approx(np.percentile([r[1] for r in rows if r[1] is not None], 25))
-
-
-@pytest.mark.parametrize("small_rows", [-1, 10**6])
-def test_nearest_neighbour_equals_all_pairs(spark, small_rows):
+    out = {r.g: r for r in summarise(df, ["g"], [F.count("*").alias("n")], wanted).collect()}
+    assert set(out) == {None, 0, 1, 2, 7, 8}
+    for g in out:
+        for column, q, name in wanted:
+            values = [r[1 if column == "a" else 2] for r in rows if r[0] == g]
+            values = [v for v in values if v is not None]
+            want = np.percentile(values, q * 100) if values else None
+            assert out[g][name] == (None if want is None else pytest.approx(want, rel=1e-12))
+        assert out[g].n == sum(r[0] == g for r in rows)
+    total = summarise(df, [], [F.count("*").alias("n")], [("a", 0.25, "q")]).first()
+    assert total.n == len(rows)
+    assert total.q == pytest.approx(np.percentile([r[1] for r in rows if r[1] is not None], 25))
+
+
+def test_nearest_neighbour_equals_all_pairs(spark):
     rng = random.Random(4)
-    p = replace(TINY, small_rows=small_rows)
     speeds = [20.0, 20.5, 21.0, 25.0, None]
     probes = [(1 if i % 3 else 2, rng.choice([1, 2, None]), i, rng.choice([7.0, 8.0, 10.0, 10.5, None]),
                rng.choice(speeds + [rng.uniform(18, 30)])) for i in range(150)]
@@ -199,7 +194,7 @@ def test_nearest_neighbour_equals_all_pairs(spark, small_rows):
             expected[(rec, i)] = min(options)[1]
     pdf = spark.createDataFrame(probes, "recordingId int, veh_class int, l2_event_id long, probe_duration double, probe_speed double")
     cdf = spark.createDataFrame(cands, "recordingId int, veh_class int, base_id long, cand_duration double, cand_speed double")
-    found = {(r.recordingId, r.l2_event_id): r.base_id for r in nearest_by_speed(pdf, cdf, p).collect()}
+    found = {(r.recordingId, r.l2_event_id): r.base_id for r in nearest_by_speed(pdf, cdf, TINY).collect()}
     assert found == expected and expected
 
 
@@ -237,14 +232,6 @@ def test_hexbin_assigns_the_nearest_centre(spark):
     assert [c.n for c in same] == [3]
 
 
-def test_dimension_join_both_ways(spark):
-    rows = spark.range(30).select((F.col("id") % 4).alias("k"), "id")
-    dim = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, name string")
-    wide, narrow = (join_dimension(rows, dim, ["k"], "left", limit) for limit in (0, 10))
-    assert sorted(map(tuple, wide.collect()), key=str) == sorted(map(tuple, narrow.collect()), key=str)
-    assert "Broadcast" in narrow._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in narrow._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_samples_do_not_depend_on_partitioning(spark):
     df = spark.range(1000)
     first, second = (sorted(r.id for r in sample_rows(d, ["id"], 10, 3).collect()) for d in (df.repartition(3), df.repartition(9)))

@@ -11,8 +11,8 @@ from kerbline.plans import behaviour, checks, coupling, events, l1, mec, mec_rep
 from kerbline.schemas import BASELINES, CONFLICTS, L1
 from tests.fixtures import frame, random_world, raw_tables, savgol, vehicle
 
-TINY = Params(frame_rate=1.0, min_conflict_duration=2.0, chunk_rows=16, join_chunk=4, small_rows=-1, broadcast_rows=0)
-PLAIN = replace(TINY, chunk_rows=65536, join_chunk=256, small_rows=10**6, broadcast_rows=1000)
+TINY = Params(frame_rate=1.0, min_conflict_duration=2.0, chunk_rows=16, join_chunk=4)
+PLAIN = replace(TINY, chunk_rows=65536, join_chunk=256)
 
 
 def rows_of(df, *keys):

@@ -19,11 +19,11 @@ P = Params(frame_rate=5.0, min_conflict_duration=0.4, consecutive_frames=True)
 
 
 def test_selection_of_recordings():
-    assert select_recordings("all") == list(range(1, 61))
+    assert select_recordings("all") is None and select_recordings(" ALL ") is None
     assert select_recordings(" 1, 2 ") == [1, 2] and select_recordings("1-3,5") == [1, 2, 3, 5]
     assert select_recordings(None) is None and select_recordings("  ") is None
     assert resolve_recordings([4], True) == [4] and resolve_recordings(None, True) == [1]
-    assert len(resolve_recordings([], False)) == 60
+    assert resolve_recordings([], False) is None
 
 
 def write_raw(folder, recordings=(1, 2)):
@@ -155,8 +155,9 @@ def test_views(spark, built):
 
 
 def test_sinks(spark, tmp_path):
-    write_csv(spark.range(10).repartition(4), str(tmp_path / "one"))
-    assert len(list((tmp_path / "one").glob("*.csv"))) == 1
+    write_csv(spark.range(10).repartition(4), str(tmp_path / "some"))
+    assert len(list((tmp_path / "some").glob("*.csv"))) > 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "some")).count() == 10
     assert only_recordings(spark.range(3), None) is not None
 
 
@@ -175,7 +176,83 @@ def test_scratch_folder_follows_the_session(spark):
     assert store.scratch_dir(_Session(None, "yarn", "hdfs://shared/x")) == "hdfs://shared/x"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         store.scratch_dir(_Session(None, "yarn"))
-    own = store.scratch_dir(_Session(None, "local[2]"))
-    assert own == store.scratch_dir(_Session(None, "local[2]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.scratch_dir(_Session(None, "local[2]"))
     table = store.materialize(spark.range(5), "probe")
     assert table.count() == 5 and f"{store.scratch_dir(spark)}/kerbline-probe-" in table.inputFiles()[0].replace("file://", "")
+
+
+def test_a_query_run_again_takes_no_more_scratch(spark):
+    from pathlib import Path
+
+    from kerbline import catalog
+    from tests.conftest import SMALL
+
+    def tables():
+        return {p.name for p in Path(store.scratch_dir(spark).removeprefix("file:")).iterdir() if p.name.startswith("kerbline-")}
+
+    names = ["l1_master", "mec_basic_stats", "threshold_sweep", "aligned_curve"]
+    for name in names:
+        catalog.run(name, spark, SMALL).collect()
+    before = tables()
+    for name in names:
+        catalog.run(name, spark, SMALL).collect()
+    assert len(tables()) == len(before) and tables() != before
+
+
+def test_recordings_are_built_one_after_another(spark, tmp_path):
+    rows = spark.range(40).selectExpr("int(id % 4) AS recordingId", "id")
+    path = str(tmp_path / "t")
+    write_recordings(rows.where("recordingId = 1"), path, ids=[1])
+    write_recordings(rows.where("recordingId = 2"), path, ids=[2])
+    assert sorted(r[0] for r in spark.read.parquet(path).select("recordingId").distinct().collect()) == [1, 2]
+    write_recordings(rows.where("recordingId = 1 AND id < 0"), path, ids=[1])
+    assert [r[0] for r in spark.read.parquet(path).select("recordingId").distinct().collect()] == [2]
+    write_recordings(rows.where("recordingId = 3"), path)
+    assert [r[0] for r in spark.read.parquet(path).select("recordingId").distinct().collect()] == [3]
+
+
+def test_rebuilding_a_recording_without_conflicts_drops_its_old_ones(spark, built, tmp_path):
+    raw, _ = built
+    out = str(tmp_path)
+    for ids in ([1], [2]):
+        stages.build_frames(spark, raw, out, P, ids)
+    stages.build_event_tables(spark, out, P)
+    assert sorted(r[0] for r in stages.read_frames(spark, out).select("recordingId").distinct().collect()) == [1, 2]
+    before = {r[0]: r[1] for r in stages.read_events(spark, out)[0].groupBy("recordingId").count().collect()}
+    stages.build_event_tables(spark, out, P, ids=[1], ttc_conflict=0.01)
+    assert {r[0]: r[1] for r in stages.read_events(spark, out)[0].groupBy("recordingId").count().collect()} == {2: before[2]}
+
+
+def test_no_recording_is_dropped_and_all_missing_ones_are_named(spark):
+    frames = spark.range(79).selectExpr("int(id + 1) AS recordingId")
+    assert only_recordings(frames, resolve_recordings(None, False)).count() == 79
+    with pytest.raises(FileNotFoundError) as error:
+        only_recordings(frames, range(60, 130), strict=True)
+    assert str(list(range(80, 130))) in str(error.value)
+    plan = only_recordings(frames, [1, 2], strict=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_files_may_lack_optional_columns(spark, tmp_path):
+    write_raw(tmp_path, (3,))
+    with open(tmp_path / "03_tracks.csv", newline="") as handle:
+        rows = list(csv.DictReader(handle))
+    few = ["frame", "id", "x", "y", "width", "height", "xVelocity", "yVelocity", "xAcceleration", "yAcceleration", "precedingId"]
+    with open(tmp_path / "03_tracks.csv", "w", newline="") as handle:
+        out = csv.DictWriter(handle, few, extrasaction="ignore")
+        out.writeheader()
+        out.writerows(rows)
+    with open(tmp_path / "03_recordingMeta.csv", "w") as handle:
+        handle.write("id,note\n3,x\n")
+    stages.build_frames(spark, str(tmp_path), str(tmp_path / "out"), P)
+    frames = stages.read_frames(spark, str(tmp_path / "out"))
+    assert frames.count() == 480 and frames.select(F.min("laneId_raw"), F.count("ttc_raw"), F.min("dt")).first() == (0, 0, pytest.approx(0.2))
+
+
+def test_trajectories_are_written_by_many_tasks(spark, built):
+    from kerbline.plans import coupling
+    _, out = built
+    conflicts, _ = stages.read_events(spark, out)
+    plan = coupling.severe_trajectories(stages.read_frames(spark, out), conflicts, P)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan

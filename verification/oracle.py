@@ -10,7 +10,9 @@ import re
 
 import numpy as np
 
-SCALE = 10000
+SCALE = 10_000
+FINE_SCALE = 10_000_000
+FINE = ("cpf_fuel_rate_lps", "vsp_value", "vsp_co2_rate", "vsp_nox_rate", "E_cpf_fuel", "E_vsp_NOx", "E_fuel", "E_real_fuel", "E_base_fuel")
 
 
 def _fit_weights(window: int, place: int, derivative: int) -> list[float]:
@@ -31,7 +33,8 @@ def _weights(derivative: int) -> str:
 
 
 def _r(expression: str, name: str | None = None) -> str:
-    return f"floor(CAST({expression} AS DOUBLE) * {SCALE} + 0.5::DOUBLE) / {SCALE}::DOUBLE AS {name or expression}"
+    scale = FINE_SCALE if (name or expression) in FINE else SCALE
+    return f"floor(CAST({expression} AS DOUBLE) * {scale} + 0.5::DOUBLE) / {scale}::DOUBLE AS {name or expression}"
 
 
 def _rs(*names: str) -> str:
