@@ -16,10 +16,11 @@ itself shares a bucket.
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbline.llm.components import components
 from kerbline.llm.texts import map_rows, words_of
@@ -158,6 +159,18 @@ def links_of_group(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
                          "n": [*links[linked].tolist(), *[0] * len(forest)]})
 
 
+@contextmanager
+def early_filter(spark: SparkSession):
+    """Let Spark drop, by a Bloom filter of bounded size, rows that a join will not keep before it shuffles them, whatever the scan's size."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = GRAM, similarity: float = SIMILARITY,
                     recall: float = RECALL) -> DataFrame:
     """Per row of ``docs``: key, row_id, class_id, n_links, n_copies and first.
@@ -185,7 +198,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         "digest", "cluster", "parts", "copies", F.col("least.row_id").alias("row_id"),
         F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part")), "cluster-parts")
 
-    found = docs.select(row_id(key, text).alias("row_id"), F.col(text).alias("text")).join(placed, "row_id")
+    # The condition always holds; Spark builds its early filter only from a side that has one.
+    found = docs.select(row_id(key, text).alias("row_id"), F.col(text).alias("text")).join(placed.where("parts > 0"), "row_id")
     found = found.select("digest", "cluster", "parts", "copies", "part", "text")
     held = map_rows(found, "digest binary, cluster binary, parts int, copies bigint, part int, grams binary", lambda: lambda part: (
         (*row[:-1], grams.tobytes()) for row, grams in zip(part, gram_sets([row[-1] for row in part], size))))
@@ -194,7 +208,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     meeting = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(
         F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
     groups = held.select("cluster", "digest", "part", "copies", "grams", F.inline(meeting)).groupBy("cluster", "p", "q")
-    links = materialize(groups.applyInPandas(lambda g: links_of_group(g, similarity), "a binary, b binary, n bigint"), "links")
+    with early_filter(docs.sparkSession):
+        links = materialize(groups.applyInPandas(lambda g: links_of_group(g, similarity), "a binary, b binary, n bigint"), "links")
 
     roots = components(links.where("b IS NOT NULL").select("a", "b"), "verified-links")
     counted = links.groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("links"))
