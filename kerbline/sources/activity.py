@@ -13,8 +13,9 @@ from kerbline.operators.store import materialize
 from kerbline.params import Params
 from kerbline.sources.raw import RawTables
 
-RECORDINGS = 4
-ACTIVITY_PARAMS = Params(frame_rate=1.0, min_conflict_duration=2.0, consecutive_frames=True)
+# Users of a block share four recordings, so that recordings grow in number with the users.
+BLOCK, PER_BLOCK = 128, 4
+ACTIVITY_PARAMS = Params(frame_rate=1.0, min_conflict_duration=0.4, consecutive_frames=True)
 
 
 def activity_frames(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> DataFrame:
@@ -24,18 +25,20 @@ def activity_frames(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> DataFrame
 
 
 def activity_tables(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> RawTables:
-    spark = events.sparkSession
     largest = events.agg(F.max("user_id")).first()[0] or 0
     user = F.col("user_id")
     calm = user % 3 == 0
     forward = F.floor(user / 4) % 2 == 1
     truck = user % 5 == 0
-    speed = F.when(calm, 25 + F.least("value", F.lit(100.0)) / 100).otherwise(20 + F.least("value", F.lit(100.0)) / 10)
+    value = F.col("value")
+    speed = F.when(calm, 25 + value / (F.abs(value) + 50)).otherwise(20 + 30 * value / (F.abs(value) + 100))
+    alone = calm | (user + 8 > largest) | (F.floor((user + 8) / BLOCK) > F.floor(user / BLOCK))
+    recording = (user % PER_BLOCK + 1 + PER_BLOCK * F.floor(user / BLOCK)).cast("int")
     width = F.when(truck, F.lit(12.0)).otherwise(F.lit(4.5))
     place = (1000 + 25 * F.floor(user / 8) + (F.col("event_id") * 7) % 11).cast("double")
     lane = F.when(~calm & (F.col("event_type") == "signup"), F.lit(3)).otherwise(F.lit(2)).cast("long")
     vehicle = [
-        (user % RECORDINGS + 1).cast("int").alias("recordingId"), (user + 1).cast("long").alias("id"),
+        recording.alias("recordingId"), (user + 1).cast("long").alias("id"),
         width.alias("width"), F.lit(2.0).alias("height"),
     ]
     direction = F.when(forward, F.lit(2)).otherwise(F.lit(1))
@@ -45,15 +48,15 @@ def activity_tables(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> RawTables
         F.when(forward, place - width / 2).otherwise(3000 - place - width / 2).alias("x"),
         (2.0 + 4 * lane).alias("y"),
         F.when(forward, speed).otherwise(-speed).alias("xVelocity"), F.lit(0.0).alias("xAcceleration"),
-        F.when(calm | (user + 8 > largest), F.lit(0)).otherwise(user + 9).cast("long").alias("precedingId"),
+        F.when(alone, F.lit(0)).otherwise(user + 9).cast("long").alias("precedingId"),
         lane.alias("laneId"), F.lit(0.0).alias("dhw"), F.lit(0.0).alias("thw"), F.lit(0.0).alias("ttc"),
     )
     tracks_meta = events.select("user_id").distinct().select(
         *vehicle, F.when(truck, F.lit("Truck")).otherwise(F.lit("Car")).alias("class"),
         direction.alias("drivingDirection"),
     )
-    recordings = spark.range(1, RECORDINGS + 1).select(
-        F.col("id").cast("int").alias("id"), F.lit(p.frame_rate).alias("frameRate"))
+    recordings = events.select(recording.alias("id")).distinct().withColumn(
+        "frameRate", F.when(F.col("id") % 2 == 0, F.lit(5.0)).otherwise(F.lit(1.0)))
     return RawTables(recordings, materialize(tracks_meta, "vehicles"), materialize(tracks, "tracks"))
 
 

@@ -60,7 +60,7 @@ def test_layout_for_large_inputs_gives_the_same(scattered, answers, name):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).count() == 3
+    assert contract.entry(spark).count() > 3
 
 
 def test_workspace_is_shared_and_renewed(spark):

@@ -50,14 +50,15 @@ K = _ints("recordingId", "trackId", "frame")
 STEPS = {
     "bound": "SELECT max(user_id) AS mx FROM events",
     "base": """
-        SELECT user_id % 4 + 1 AS recordingId, user_id + 1 AS trackId,
+        SELECT user_id % 4 + 1 + 4 * (user_id // 128) AS recordingId, user_id + 1 AS trackId,
+          CASE WHEN user_id % 2 = 1 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS rate,
           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame,
           count(*) OVER (PARTITION BY user_id) AS n_rows,
-          CASE WHEN user_id % 3 = 0 THEN 25 + least(value, 100) / 100 ELSE 20 + least(value, 100) / 10 END AS spd,
+          CASE WHEN user_id % 3 = 0 THEN 25 + value / (abs(value) + 50) ELSE 20 + 30 * value / (abs(value) + 100) END AS spd,
           CASE WHEN user_id % 5 = 0 THEN 12.0::DOUBLE ELSE 4.5::DOUBLE END AS width, 2.0::DOUBLE AS height,
           CASE WHEN user_id % 5 = 0 THEN 2 ELSE 1 END AS veh_class,
           1 + (user_id // 4) % 2 AS dir,
-          CASE WHEN user_id % 3 = 0 OR user_id + 8 > mx THEN 0 ELSE user_id + 9 END AS precedingId,
+          CASE WHEN user_id % 3 = 0 OR user_id + 8 > mx OR (user_id + 8) // 128 > user_id // 128 THEN 0 ELSE user_id + 9 END AS precedingId,
           (1000 + 25 * (user_id // 8) + (event_id * 7) % 11)::DOUBLE AS place,
           CASE WHEN user_id % 3 <> 0 AND event_type = 'signup' THEN 3 ELSE 2 END AS lane
         FROM events, bound""",
@@ -66,10 +67,10 @@ STEPS = {
           (2.0 + 4 * lane)::DOUBLE AS y, CASE WHEN dir = 2 THEN spd ELSE -spd END AS xv
         FROM base""",
     "extent": """
-        SELECT recordingId, min(x) AS min_x, max(x + width) AS max_x, min(y) AS min_y, max(y + height) AS max_y
+        SELECT recordingId, any_value(rate) AS rate, min(x) AS min_x, max(x + width) AS max_x, min(y) AS min_y, max(y + height) AS max_y
         FROM tracks GROUP BY recordingId""",
     "uni": """
-        SELECT t.*, e.min_x, e.max_x, e.min_y, e.max_y, t.frame / 1.0 AS time,
+        SELECT t.*, e.min_x, e.max_x, e.min_y, e.max_y, t.frame / t.rate AS time,
           CASE WHEN dir = 2 THEN x + width / 2 ELSE max_x - (x + width / 2) END AS s_long,
           y + height / 2 AS d_lat, CASE WHEN dir = 2 THEN xv ELSE -xv END AS v_raw
         FROM tracks t JOIN extent e USING (recordingId)""",
@@ -129,12 +130,12 @@ STEPS = {
     # Conflict runs for the three thresholds of the sweep; 4.0 is the detection threshold.
     "levels": "SELECT unnest([2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE]) AS thr",
     "island_rows": """
-        SELECT thr, recordingId, trackId, frame, ttc,
+        SELECT thr, recordingId, trackId, frame, ttc, rate,
           frame - row_number() OVER (PARTITION BY thr, recordingId, trackId ORDER BY frame) AS island
         FROM frames JOIN levels ON ttc < thr""",
     "islands": """
         SELECT thr, recordingId, trackId, min(frame) AS run_start, max(frame) AS run_end, count(*) AS run_rows,
-          count(*) * 1.0::DOUBLE AS conf_duration, min(ttc)::DOUBLE AS min_TTC_conf
+          round(count(*) * (1 / any_value(rate)), 9) AS conf_duration, min(ttc)::DOUBLE AS min_TTC_conf
         FROM island_rows GROUP BY thr, recordingId, trackId, island""",
     "cores": """
         SELECT i.*, greatest(1, run_start - 3) AS start_frame, least(n_rows, run_end + 5) AS end_frame
@@ -142,24 +143,24 @@ STEPS = {
     "conf_all": """
         SELECT c.thr, c.recordingId, c.trackId AS ego_id, c.start_frame, c.end_frame, c.run_start AS conf_start_frame,
           c.run_end AS conf_end_frame, c.conf_duration, c.min_TTC_conf, min(f.time) AS start_time, max(f.time) AS end_time,
-          count(*) * 1.0::DOUBLE AS duration, min(f.ttc)::DOUBLE AS min_TTC, min(f.veh_class) AS veh_class,
+          round(count(*) * (1 / any_value(f.rate)), 9) AS duration, min(f.ttc)::DOUBLE AS min_TTC, min(f.veh_class) AS veh_class,
           count(*) FILTER (WHERE f.frame > c.start_frame AND f.lane <> f.lane_before) AS num_lane_changes,
-          sum(f.co2::DOUBLE) AS E_cpf_CO2, sum(f.fuel::DOUBLE) AS E_cpf_fuel, sum(f.vco2::DOUBLE) AS E_vsp_CO2,
-          sum(f.vnox::DOUBLE) AS E_vsp_NOx
+          sum(f.co2::DOUBLE * (1 / f.rate)) AS E_cpf_CO2, sum(f.fuel::DOUBLE * (1 / f.rate)) AS E_cpf_fuel,
+          sum(f.vco2::DOUBLE * (1 / f.rate)) AS E_vsp_CO2, sum(f.vnox::DOUBLE * (1 / f.rate)) AS E_vsp_NOx
         FROM cores c JOIN frames f ON f.recordingId = c.recordingId AND f.trackId = c.trackId
           AND f.frame BETWEEN c.start_frame AND c.end_frame
         GROUP BY ALL""",
     "conf": """
         SELECT row_number() OVER (PARTITION BY recordingId ORDER BY ego_id, conf_start_frame) AS event_id, * EXCLUDE (thr)
-        FROM conf_all WHERE thr = 4.0 AND conf_duration >= 2.0""",
+        FROM conf_all WHERE thr = 4.0 AND conf_duration >= 0.4""",
     "starts": "SELECT recordingId, trackId, unnest(range(1, n_rows - 6, 4)) AS start_frame FROM (SELECT DISTINCT recordingId, trackId, n_rows FROM base)",
     "base_all": """
         SELECT s.recordingId, s.trackId AS ego_id, s.start_frame, s.start_frame + 7 AS end_frame, min(f.time) AS start_time,
-          max(f.time) AS end_time, count(*) * 1.0::DOUBLE AS duration, min(f.veh_class) AS veh_class,
+          max(f.time) AS end_time, round(count(*) * (1 / any_value(f.rate)), 9) AS duration, min(f.veh_class) AS veh_class,
           min(f.ttc)::DOUBLE AS min_TTC, avg(f.ttc::DOUBLE) AS mean_TTC,
           count(*) FILTER (WHERE f.frame > s.start_frame AND f.lane <> f.lane_before) AS num_lane_changes,
-          sum(f.co2::DOUBLE) AS E_cpf_CO2, sum(f.fuel::DOUBLE) AS E_cpf_fuel, sum(f.vco2::DOUBLE) AS E_vsp_CO2,
-          sum(f.vnox::DOUBLE) AS E_vsp_NOx
+          sum(f.co2::DOUBLE * (1 / f.rate)) AS E_cpf_CO2, sum(f.fuel::DOUBLE * (1 / f.rate)) AS E_cpf_fuel,
+          sum(f.vco2::DOUBLE * (1 / f.rate)) AS E_vsp_CO2, sum(f.vnox::DOUBLE * (1 / f.rate)) AS E_vsp_NOx
         FROM starts s JOIN frames f ON f.recordingId = s.recordingId AND f.trackId = s.trackId
           AND f.frame BETWEEN s.start_frame AND s.start_frame + 7
         GROUP BY s.recordingId, s.trackId, s.start_frame
@@ -170,7 +171,8 @@ STEPS = {
         UNION ALL
         SELECT 'baseline', recordingId, event_id, ego_id, start_frame, end_frame, duration FROM calm""",
     "metrics": """
-        SELECT b.kind, b.recordingId, b.event_id, sum(f.co2::DOUBLE) AS E_CO2, sum(f.fuel::DOUBLE) AS E_fuel,
+        SELECT b.kind, b.recordingId, b.event_id, sum(f.co2::DOUBLE * (1 / f.rate)) AS E_CO2,
+          sum(f.fuel::DOUBLE * (1 / f.rate)) AS E_fuel,
           CASE WHEN count(*) > 1 THEN max_by(f.s_long, f.frame) - min_by(f.s_long, f.frame) END AS dist_m,
           any_value(b.duration) AS duration, avg(f.vs::DOUBLE) AS mean_v
         FROM all_events b JOIN frames f ON f.recordingId = b.recordingId AND f.trackId = b.ego_id
@@ -313,8 +315,8 @@ _ZERO = lambda *names: ", ".join(f"CAST(0 AS BIGINT) AS {n}" for n in names)  #
 
 _QUERIES = {
     "l1_keys_and_meta": f"""SELECT {K}, CAST(recordingId * 10000 + trackId AS BIGINT) AS global_track_id, {_r('time')},
-        {_ints('veh_class')}, {_rs('width', 'height')}, CAST(lane AS BIGINT) AS laneId_raw, {_r('1.0', 'dt')}, {_ints('n_rows')} FROM uni""",
-    "l1_recording_extents": f"SELECT {_ints('recordingId')}, {_rs('min_x', 'max_x', 'min_y', 'max_y')}, {_r('1.0', 'frameRate')} FROM extent",
+        {_ints('veh_class')}, {_rs('width', 'height')}, CAST(lane AS BIGINT) AS laneId_raw, {_r('CAST(1 / rate AS FLOAT)', 'dt')}, {_ints('n_rows')} FROM uni""",
+    "l1_recording_extents": f"SELECT {_ints('recordingId')}, {_rs('min_x', 'max_x', 'min_y', 'max_y')}, {_r('rate', 'frameRate')} FROM extent",
     "l1_unify_coordinates": f"""SELECT {K}, CAST(dir AS BIGINT) AS drivingDirection, {_rs('s_long', 'd_lat')},
         {_r('v_raw', 'v_long_raw')}, {_r('0.0', 'a_long_raw')} FROM uni""",
     "l1_minmax_scale": f"SELECT {K}, {_rs('x_img', 'y_img')} FROM frames",
@@ -330,7 +332,7 @@ _QUERIES = {
         {_ZERO('followingId', 'leftPrecedingId', 'leftAlongsideId', 'leftFollowingId', 'rightPrecedingId',
                'rightAlongsideId', 'rightFollowingId')}, {_LEADER_COLUMNS}, {_r('0.0', 'dist_headway_raw')},
         {_r('0.0', 'time_headway_raw')}, {_r('0.0', 'ttc_raw')}, {_r('ttc', 'TTC')}, {_r('drac', 'DRAC')},
-        CAST(risk AS BIGINT) AS risk_level, {_FUEL_COLUMNS}, {_VSP_COLUMNS}, {_r('1.0', 'dt')} FROM frames""",
+        CAST(risk AS BIGINT) AS risk_level, {_FUEL_COLUMNS}, {_VSP_COLUMNS}, {_r('CAST(1 / rate AS FLOAT)', 'dt')} FROM frames""",
     "l2_islands": f"""SELECT {_ints('recordingId', 'trackId', 'run_start', 'run_end', 'run_rows')},
         {_rs('conf_duration', 'min_TTC_conf')} FROM islands WHERE thr = 4.0""",
     "l2_conflict_events": f"""SELECT {_ints('event_id', 'recordingId', 'ego_id', 'start_frame', 'end_frame', 'conf_start_frame',
