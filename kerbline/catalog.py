@@ -113,6 +113,23 @@ def _clusters(ws):
         "rec_id", "event_id", "min_TTC_conf", "conf_duration", "MEC_CO2_per_km", "E_real_CO2_per_km", "cluster")
 
 
+def _cluster_features(ws):
+    scaled, used = behaviour.scaled_features(behaviour.clustering_events(ws.mec))
+    return behaviour.feature_array(scaled).select(
+        "rec_id", "event_id", *[F.get("features_z", F.lit(i)).alias(f"z_{c}") for i, c in enumerate(used)])
+
+
+def _cluster_facts(ws):
+    clustered = _clustered(ws)
+    return behaviour.cluster_facts(clustered, behaviour.cluster_summary(clustered, ws.p))
+
+
+def _renamed_costs(ws):
+    """Headline figures of a cost table that carries older column names and no event numbers."""
+    older = {new: old for old, new in mec_report.ALIASES.items() if new in ws.mec.columns}
+    return mec_report.headline(mec_report.normalise(ws.mec.withColumnsRenamed(older).drop("event_id"), ws.p), ws.p)
+
+
 def _clustered(ws):
     return ws.table("clusters", lambda: behaviour.cluster_events(behaviour.clustering_events(ws.mec)))
 
@@ -183,6 +200,10 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "severe_trajectories": lambda ws: coupling.severe_trajectories(ws.l1, ws.conflicts, ws.p),
     "cluster_input": lambda ws: behaviour.clustering_events(ws.mec).select(
         "rec_id", "event_id", "min_TTC_conf", "conf_duration", "MEC_CO2_per_km", "E_real_CO2_per_km"),
+    "cluster_features": _cluster_features,
+    "cluster_facts": _cluster_facts,
+    "mec_headline_of_older_names": _renamed_costs,
+    "episode_metrics_from_times": lambda ws: mec.episode_metrics(ws.l1.drop("dt", "frame_s"), _kinds(ws), ws.p),
     "clusters": _clusters,
     "cluster_summary": lambda ws: behaviour.cluster_summary(_clustered(ws), ws.p),
     "cluster_curves": lambda ws: behaviour.cluster_curves(ws.l1, _clustered(ws), ws.p),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.operators.alignment import aligned_rows, event_spans, resample, with_anchor
 from kerbline.operators.intervals import interval_bounds, slice_frames
@@ -91,5 +91,26 @@ def cluster_curves(l1: DataFrame, clustered: DataFrame, p: Params) -> DataFrame:
     ).withColumn("t", F.col("offset") / p.frame_rate).orderBy("cluster", "offset")
 
 
+def cluster_facts(clustered: DataFrame, summary: DataFrame, k: int = 3) -> DataFrame:
+    """What must hold of any clustering: sizes add up, labels are in range and in order, every event is nearest to its own centre."""
+    scaled, used = scaled_features(clustered)
+    points = feature_array(scaled).select("cluster", "features_z")
+    own = [F.avg(F.get("features_z", F.lit(i))).alias(f"c{i}") for i in range(len(used))]
+    # At most k rows.
+    centres = points.groupBy("cluster").agg(*own).orderBy("cluster").collect()
+
+    def distance(centre) -> Column:
+        return sum(((F.get("features_z", F.lit(i)) - F.lit(centre[f"c{i}"])) ** 2 for i in range(len(used))), F.lit(0.0))
+
+    nearest = F.least(*[distance(c) for c in centres], F.lit(float("inf")), F.lit(float("inf")))
+    mine = F.coalesce(*[F.when(F.col("cluster") == c.cluster, distance(c)) for c in centres], F.lit(0.0))
+    disordered = sum(a.c0 > b.c0 for a, b in zip(centres, centres[1:]))
+    counted = summary.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_in_summary"), F.lit(1).alias("_one"))
+    return points.agg(
+        F.count("*").alias("n_events"), F.count_if(~F.col("cluster").between(0, k - 1)).alias("n_out_of_range"),
+        F.count_if(mine > nearest + 1e-9).alias("n_not_nearest"), F.lit(disordered).alias("n_out_of_order"), F.lit(1).alias("_one"),
+    ).join(counted, "_one").drop("_one")
+
+
 def feature_array(scaled: DataFrame) -> DataFrame:
     return scaled.withColumn("features_z", vector_to_array("features_z"))

@@ -444,6 +444,14 @@ _QUERIES = {
         WHERE (recordingId, event_id) IN (SELECT (recordingId, event_id) FROM severe)""",
     "cluster_input": f"""SELECT {_ints('rec_id', 'event_id')}, {_rs('min_TTC_conf', 'conf_duration', 'MEC_CO2_per_km', 'E_real_CO2_per_km')}
         FROM mec WHERE min_TTC_conf < 3 AND conf_duration >= 0.8 AND MEC_CO2_per_km IS NOT NULL""",
+    "cluster_features": f"SELECT {_ints('rec_id', 'event_id')}, " + ", ".join(
+        _r(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0)", f"z_{c}")
+        for c in ("min_TTC_conf", "conf_duration", "MEC_CO2_per_km", "E_real_CO2_per_km")) + """
+        FROM mec WHERE min_TTC_conf < 3 AND conf_duration >= 0.8 AND MEC_CO2_per_km IS NOT NULL""",
+    "cluster_facts": """SELECT count(*) AS n_events, 0::BIGINT AS n_out_of_range, 0::BIGINT AS n_not_nearest, 0::BIGINT AS n_out_of_order,
+        count(*) AS n_in_summary FROM mec WHERE min_TTC_conf < 3 AND conf_duration >= 0.8 AND MEC_CO2_per_km IS NOT NULL""",
 }
+_QUERIES["mec_headline_of_older_names"] = _QUERIES["mec_headline"]
+_QUERIES["episode_metrics_from_times"] = _QUERIES["episode_metrics"]
 
 ORACLE = {name: _statement(sql) for name, sql in _QUERIES.items()}
