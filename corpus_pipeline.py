@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +11,7 @@ from kerbline.llm.ngram_join import keep_first
 from kerbline.llm.rule_ensemble import keep_good
 from kerbline.llm.secret_scan import mask_secrets
 from kerbline.llm.texts import table
-from kerbline.operators.store import scratch_dir
+from kerbline.operators.store import replacing, scratch_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of a folder through all stages; what each returned is kept in the shared folder until the session ends."""
+    """The documents of a folder through all stages. What each returned stays in the shared folder until the next run or the session's end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{scratch_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    with replacing(spark, f"pipeline of {sf_dir}"):
+        folder = scratch_path(spark, "pipeline")
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ from kerbline.llm.texts import table
 from kerbline.llm.toxicity import score_toxicity
 from kerbline.llm.url_filter import DEFAULT_PATTERNS, address_rule, judge_urls
 from kerbline.llm.wrappers import extract_pages
+from kerbline.operators.store import replacing
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 #: The rules that the URL query states.
 ADDRESS_RULES = tuple(address_rule(*r) for r in (
@@ -71,18 +75,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_ngram_join": op2_ngram_join,
-    "op3_url_filter": op3_url_filter,
-    "op4_byte_bpe": op4_byte_bpe,
-    "op5_toxicity": op5_toxicity,
-    "op6_secret_scan": op6_secret_scan,
-    "op7_decontamination": op7_decontamination,
-    "op8_html_extraction": op8_html_extraction,
-    "op9_quality_classifier": op9_quality_classifier,
-    "op10_license_scan": op10_license_scan,
-}
+def run(query: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query's result. Scratch tables that its last run in this session wrote are deleted."""
+    with replacing(spark, f"{query.__name__} of {sf_dir}"):
+        return query(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {query.__name__: partial(run, query) for query in (
+    op1_quality_rules, op2_ngram_join, op3_url_filter, op4_byte_bpe, op5_toxicity, op6_secret_scan, op7_decontamination,
+    op8_html_extraction, op9_quality_classifier, op10_license_scan)}
 #: The other queries have no SQL form: they rest on trained models, MinHash, retrieval, tokens or page trees.
 ORACLE: dict[str, str] = {
     "op3_url_filter": url_filter_sql(ADDRESS_RULES + DEFAULT_PATTERNS),
