@@ -1,8 +1,6 @@
 import math
 import random
-import re
 
-import numpy as np
 import pytest
 
 from kerbline.llm import decontamination as leaks, queries, toxicity
