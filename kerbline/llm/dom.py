@@ -32,8 +32,6 @@ BOILERPLATE = frozenset(
     "cookie cookies consent gdpr notice notices alert alerts warning popup overlay modal newsletter subscribe subscription signup "
     "signin login paywall comment comments commentlist reply replies respond disqus discussion share sharing social related "
     "recommended recommendations widget widgets toolbar pagination pager skip copyright legal disclaimer hidden".split())
-#: Elements nested deeper become siblings, as in browsers.
-DEEPEST = 200
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -54,15 +52,37 @@ class Node:
                 self.label = f"{tag}.{'.'.join(words)}"
 
 
+class Stack:
+    """The open elements, with the places of each tag among them, so that no end tag searches a deep page."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def nearest(self, tags) -> int:
+        """The depth of the innermost open element of these tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags, stops=()) -> None:
+        """Closes the innermost open element of these tags unless a stop lies within it."""
+        depth = self.nearest(tags)
+        if depth and depth >= self.nearest(stops):
+            while len(self.nodes) > depth:
+                self.places[self.nodes.pop().tag].pop()
+
+
 def parse(page: str | None) -> Node:
     """The tree of a page; text nodes are strings with character references decoded. Open elements end with the page."""
     root = Node("#page")
-    stack, at, page = [root], 0, page or ""
+    stack, at, page = Stack(root), 0, page or ""
     while at < len(page):
         token = TOKEN.search(page, at)
         text = page[at:token.start()] if token else page[at:]
         if text:
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            stack.nodes[-1].children.append(html.unescape(text) if "&" in text else text)
         if not token:
             break
         at = token.end()
@@ -71,38 +91,24 @@ def parse(page: str | None) -> Node:
             continue
         tag = name.lower()
         if slash:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in ("td", "th", "table", "body") and tag not in BLOCKS:
-                    break
+            if tag == "p" and not stack.nearest({"p"}):
+                stack.nodes[-1].children.append(Node("p"))
+            stack.close({tag}, () if tag in BLOCKS else ("td", "th", "table", "body"))
             continue
         if tag in CLOSES_P:
-            _close(stack, {"p"}, {"table", "td", "th", "button", "object"})
+            stack.close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in SIBLINGS:
-            _close(stack, *SIBLINGS[tag])
+            stack.close(*SIBLINGS[tag])
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
-        elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
-            stack.append(node)
+        elif tag not in VOID and not attributes.endswith("/"):
+            stack.push(node)
     return root
 
 
-def _close(stack: list[Node], tags: set[str], stops: set[str]) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].tag in tags:
-            del stack[depth:]
-            return
-        if stack[depth].tag in stops:
-            return
-
-
 def text_parts(node: Node, skip) -> Iterator[str]:
     """Text below a node in page order, with a space where a block begins or ends; ``skip(node)`` leaves an element out."""
     todo: list[Node | str] = [node]

@@ -31,6 +31,10 @@ MOST_TEMPLATE = 0.3
 CONTAINERS = frozenset("body div section article main center table tbody tr td".split())
 
 
+def own_text(node: Node) -> str:
+    return " ".join("".join(c for c in node.children if isinstance(c, str)).split())
+
+
 class Folded:
     """Elements of one label below one parent, folded into one."""
 
@@ -40,12 +44,18 @@ class Folded:
         self.children: dict[str, Folded] = {}
 
     def add(self, node: Node) -> "Folded":
-        own = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
-        if own:
-            self.texts.append(own)
-        for child in node.children:
-            if isinstance(child, Node) and not child.marked:
-                self.children.setdefault(child.label, Folded(child.label, child.tag)).add(child)
+        todo = [(self, node)]
+        while todo:
+            folded, node = todo.pop()
+            if own := own_text(node):
+                folded.texts.append(own)
+            below = []
+            for child in node.children:
+                if isinstance(child, Node) and not child.marked:
+                    if child.label not in folded.children:
+                        folded.children[child.label] = Folded(child.label, child.tag)
+                    below.append((folded.children[child.label], child))
+            todo.extend(reversed(below))
         return self
 
 
@@ -53,27 +63,37 @@ def align(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
     """Simple tree matching: the most nodes of two trees that can be paired in order, parents with parents, and the pairs."""
     if a.label != b.label:
         return 0, []
-    rows, columns = list(a.children.values()), list(b.children.values())
-    best = [[(0, None)] * (len(columns) + 1) for _ in range(len(rows) + 1)]
+    todo = [(a, b)]
+    for x, y in todo:  # Grows: partners of one label, parents first.
+        todo += [(child, y.children[label]) for label, child in x.children.items() if label in y.children]
+    sizes: dict[int, int] = {}
+    chosen: dict[int, list[tuple[Folded, Folded]]] = {}
+    for x, y in reversed(todo):
+        sizes[id(x)], chosen[id(x)] = _match(list(x.children.values()), list(y.children.values()), sizes)
+    pairs = [(a, b)]
+    for x, _ in pairs:  # Grows.
+        pairs += chosen[id(x)]
+    return sizes[id(a)], pairs
+
+
+def _match(rows: list[Folded], columns: list[Folded], sizes: dict[int, int]) -> tuple[int, list[tuple[Folded, Folded]]]:
+    """The best pairs in order of the children of two nodes, whose own pairs have been counted, and the size with their parents."""
+    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
     for i, x in enumerate(rows, 1):
         for j, y in enumerate(columns, 1):
-            choice = max(((best[i - 1][j][0], "up"), (best[i][j - 1][0], "left")), key=lambda c: c[0])
+            best[i][j] = max(best[i - 1][j], best[i][j - 1])
             if x.label == y.label:
-                size, pairs = align(x, y)
-                if best[i - 1][j - 1][0] + size > choice[0]:
-                    choice = (best[i - 1][j - 1][0] + size, pairs)
-            best[i][j] = choice
-    pairs, i, j = [(a, b)], len(rows), len(columns)
+                best[i][j] = max(best[i][j], best[i - 1][j - 1] + sizes[id(x)])
+    pairs, i, j = [], len(rows), len(columns)
     while i and j:
-        step = best[i][j][1]
-        if step == "up":
+        if best[i][j] == best[i - 1][j]:
             i -= 1
-        elif step == "left":
+        elif best[i][j] == best[i][j - 1]:
             j -= 1
         else:
-            pairs += step
             i, j = i - 1, j - 1
-    return best[-1][-1][0] + 1, pairs
+            pairs.append((rows[i], columns[j]))
+    return best[-1][-1] + 1, pairs
 
 
 def path_nodes(root: Node, path: list[str]) -> list[Node]:
@@ -110,10 +130,14 @@ def induce(pages: list[str]) -> dict:
             return set()
         return set(node.texts).intersection(*(o.texts for o in others))
 
-    def varying(node: Folded) -> int:
+    sums: dict[int, int] = {}
+    for node in reversed(list(_walk(reference))):
         fixed = constant(node)
         own = sum(len(t) for n in (node, *matched.get(id(node), [])) for t in n.texts if t not in fixed)
-        return own + sum(map(varying, node.children.values()))
+        sums[id(node)] = own + sum(sums[id(c)] for c in node.children.values())
+
+    def varying(node: Folded) -> int:
+        return sums[id(node)]
 
     node, path, total = reference, [], varying(reference)
     while total and node.tag not in ("article", "main"):
@@ -129,9 +153,12 @@ def induce(pages: list[str]) -> dict:
 
 
 def _walk(node: Folded):
-    yield node
-    for child in node.children.values():
-        yield from _walk(child)
+    """Nodes in page order, parents first."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo.extend(reversed(node.children.values()))
 
 
 def _texts(node: Folded) -> list[str]:
@@ -153,7 +180,7 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     def skip(node: Node) -> bool:
         if node.marked or not template or node.tag not in BLOCKS:
             return node.marked
-        own = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
+        own = own_text(node)
         return bool(own) and digest(own) in template
 
     return " ".join(t for t in (clean(text_parts(r, skip)) for r in regions) if t)

@@ -155,6 +155,14 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(wrappers.extract(page, wrappers.induce([page])), str)
 
 
+@pytest.mark.parametrize("opening", ["<div>" * 250, "<font>" * 100_000])
+def test_deep_pages_keep_their_article(opening):
+    closing = "</div>" * opening.count("<div>")
+    page = f"<div id=wrap><article><p>lead</p>{opening}x{closing}<nav>menu</nav><p>tail</p></article></div>"
+    for wrapper in (None, wrappers.induce([page]), wrappers.induce([page, page.replace("x", "y")])):
+        assert wrappers.extract(page, wrapper) == "lead x tail"
+
+
 def test_query_eight_takes_the_articles(spark):
     import html, re
     found = {r.page_id: r.text for r in queries.op8_html_extraction(spark, SMALL).collect()}
