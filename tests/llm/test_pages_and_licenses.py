@@ -137,6 +137,20 @@ def test_constant_nodes_of_the_region_are_template_but_copies_are_not():
     assert wrappers.extract(same[1], wrappers.induce(same)) == expected(1)
 
 
+def test_all_pages_of_a_host_are_compared(spark):
+    """Hosts of eight pages and of mostly one page under many URLs, and hosts of two layouts, lose no template."""
+    note = "<p class='byline'>Written for the example site</p>"
+    rows = [(n, f"http://few.example/{n}", site(n, body(n) + note, 1)) for n in range(8)]
+    rows += [(100 + n, f"http://same.example/{n}", site(n if n < 10 else 9, body(n if n < 10 else 9) + note, 0)) for n in range(60)]
+    rows += [(200 + n, f"http://two.example/{n}", site(n, body(n) + (note if n % 2 else ""), n % 2)) for n in range(40)]
+    rows += [(300 + n, f"http://less.example/{n}", site(n, body(n) + note, 1)) for n in range(7)]
+    texts = {r.page_id: r.text for r in wrappers.extract_pages(pages(spark, rows)).collect()}
+    assert [texts[n] for n in range(8)] == [expected(n) for n in range(8)]
+    assert [texts[100 + n] for n in range(60)] == [expected(min(n, 9)) for n in range(60)]
+    assert [texts[200 + n] for n in range(40)] == [expected(n) for n in range(40)]
+    assert all("Written" in texts[300 + n] for n in range(7))  # too few to tell
+
+
 def test_tree_matching_pairs_the_most_nodes():
     def tree(label, *children):
         node = wrappers.Folded(label, label)
