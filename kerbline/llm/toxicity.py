@@ -176,7 +176,7 @@ class Model:
 
 
 def learn_terms(sample: DataFrame, text: str) -> tuple[str, ...]:
-    """Terms of a sample of texts with labels. A beginning stands for the terms that begin with it, unless they are as telling."""
+    """Terms of a sample of texts with labels. A beginning stands for the longer beginnings that begin with it, unless they are as telling."""
     rows = sample.select("label", text)
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -192,8 +192,9 @@ def learn_terms(sample: DataFrame, text: str) -> tuple[str, ...]:
         (F.col("ratio") >= LEAST_RATIO) & (F.col("t") / n > share))
     # Bounded by the sample: each term has several of its toxic documents.
     rated = {r.term: r.ratio for r in telling.select("term", "ratio").collect()}
-    return tuple(sorted(t for t in rated if not any(
-        rated.get(f"{t[:k]}*", 0) >= 1.05 * rated[t] for k in BEGINNINGS if k < len(t.rstrip("*")))
+    # Words stay beside their beginnings, which match exactly only: else no misspelling of their first letters would be found.
+    return tuple(sorted(t for t in rated if not (t.endswith("*") and any(
+        rated.get(f"{t[:k]}*", 0) >= 1.05 * rated[t] for k in BEGINNINGS if k < len(t) - 1))
         and not (t.endswith("*") and any(w.startswith(t[:-1]) and w != t and rated[w] * 1.05 > rated[t] for w in rated))))
 
 

@@ -160,6 +160,12 @@ def test_lexicon_is_learnt_with_beginnings(spark, spoken):
     assert {"moron", "worthless", "vequ*"} <= set(model.lexicon.terms) and len(model.lexicon.terms) < 12
 
 
+def test_words_stay_beside_their_beginnings(spark, spoken):
+    lexicon = toxicity.learn(*spoken).lexicon
+    assert lexicon.match("vequta") == 0 and lexicon.match("vequzzz") == 0  # a word and the beginning
+    assert lexicon.match("veuta") == 1 and lexicon.match("vaquta") == 1  # misspelt within the beginning
+
+
 def test_held_out_documents_and_misspellings(spark, spoken):
     rows, labels = spoken
     scored = toxicity.score_toxicity(rows, labels).collect()
