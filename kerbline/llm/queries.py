@@ -8,14 +8,17 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbline.llm import conversation_repair
 from kerbline.llm.byte_bpe import encode_documents, read_ranks
 from kerbline.llm.decontamination import find_leaks
 from kerbline.llm.license_scan import scan_licenses
 from kerbline.llm.ngram_join import near_duplicates
 from kerbline.llm.oracle import license_scan_sql, url_filter_sql
+from kerbline.llm.periodic_runs import run_digests
 from kerbline.llm.risk_rules import judge
 from kerbline.llm.rule_ensemble import score_quality
 from kerbline.llm.secret_scan import scan_secrets
+from kerbline.llm.suffix_dedup import remove_repeats
 from kerbline.llm.texts import table
 from kerbline.llm.toxicity import score_toxicity
 from kerbline.llm.url_filter import DEFAULT_PATTERNS, address_rule, judge_urls
@@ -75,6 +78,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
 def run(query: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query's result. Scratch tables that its last run in this session wrote are deleted."""
     with replacing(spark, f"{query.__name__} of {sf_dir}"):
@@ -83,8 +98,10 @@ def run(query: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {query.__name__: partial(run, query) for query in (
     op1_quality_rules, op2_ngram_join, op3_url_filter, op4_byte_bpe, op5_toxicity, op6_secret_scan, op7_decontamination,
-    op8_html_extraction, op9_quality_classifier, op10_license_scan)}
-#: The other queries have no SQL form: they rest on trained models, MinHash, retrieval, tokens or page trees.
+    op8_html_extraction, op9_quality_classifier, op10_license_scan, op11_periodic_runs,
+    op12_suffix_dedup, op13_conversation_repair)}
+#: The other queries have no SQL form: they rest on trained models, MinHash, retrieval, tokens, page trees, suffixes or
+#: parses, and periodic runs of all lags would make rows with the square of a text's words.
 ORACLE: dict[str, str] = {
     "op3_url_filter": url_filter_sql(ADDRESS_RULES + DEFAULT_PATTERNS),
     "op10_license_scan": license_scan_sql(),
