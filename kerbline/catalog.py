@@ -124,6 +124,13 @@ def _cluster_facts(ws):
     return behaviour.cluster_facts(clustered, behaviour.cluster_summary(clustered, ws.p))
 
 
+def _match_varied(ws):
+    """Severe conflicts against the nearest milder one: unlike baseline windows these have many different durations."""
+    milder = F.col("min_TTC_conf") >= 2.0
+    return mec.match_baselines(ws.l1, ws.conflicts.filter(~milder), ws.conflicts.filter(milder), ws.p).select(
+        "rec_id", "event_id", "l2_event_id", "base_event_id", "duration", "duration_base", "mean_v_conf", "mean_v_base", "MEC_CO2_per_event")
+
+
 def _renamed_costs(ws):
     """Headline figures of a cost table that carries older column names and no event numbers."""
     older = {new: old for old, new in mec_report.ALIASES.items() if new in ws.mec.columns}
@@ -157,6 +164,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
         "E_base_fuel", "mean_v_conf", "mean_v_base", "E_real_CO2_per_km", "E_base_CO2_per_km", "E_real_CO2_per_s",
         "E_base_CO2_per_s", "MEC_CO2_per_km", "MEC_CO2_per_event", "MEC_bucket", "base_event_id", "base_ego_id",
         "base_start_frame", "base_end_frame", "base_mean_TTC"),
+    "mec_match_varied": _match_varied,
     "mec_headline": lambda ws: mec_report.headline(ws.mec, ws.p),
     "mec_bucket_median": lambda ws: mec_report.bucket_medians(ws.mec, ws.p),
     "mec_debug_summary": lambda ws: mec_report.debug_summary(ws.mec, ws.p),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kerbline.functions.kinematics import recording_of_name
 from kerbline.operators.joins import null_safe_join
 from kerbline.operators.quantiles import summarise
+from kerbline.operators.store import materialize
 from kerbline.params import Params
 from kerbline.schemas import L1
 
@@ -73,6 +74,8 @@ def l2_profile(conflicts: DataFrame, baselines: DataFrame, p: Params) -> DataFra
 def l2_overall(profile: DataFrame, p: Params) -> DataFrame:
     """Totals, and medians over the recordings' medians."""
     medians = ("median_conf_duration", "median_min_TTC_conf", "median_E_cpf_CO2_conf")
+    # A row per recording, itself made of quantiles: kept, as both passes read it.
+    profile = materialize(profile, "l2-profile")
     return summarise(
         profile, [], [F.sum("n_conf").alias("total_conf"), F.sum("n_base").alias("total_base")],
         [(c, 0.5, c) for c in medians])

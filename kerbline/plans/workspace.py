@@ -23,12 +23,16 @@ class Workspace:
     folder: str
     p: Params
     _tables: dict[str, object] = field(default_factory=dict)
+    _places: list[str] = field(default_factory=list)
 
     def table(self, name: str, build):
         """The table of that name, built at its first use."""
         if name not in self._tables:
             with kept():
-                self._tables[name] = build()
+                self._tables[name] = built = build()
+            for frame in (built.tracks, built.tracks_meta) if isinstance(built, RawTables) else (built,):
+                if isinstance(frame, DataFrame) and (files := frame.inputFiles()):
+                    self._places.append(files[0].rpartition("/")[0])
         return self._tables[name]
 
     @property
@@ -61,14 +65,8 @@ class Workspace:
             match_baselines(self.l1, self.conflicts, self.baselines, self.p), "mec"))
 
     def readable(self) -> bool:
-        """Whether the stage tables are still there: each is asked for its first row."""
-        frames = [t for t in self._tables.values() if isinstance(t, DataFrame)]
-        frames += [t for raw in self._tables.values() if isinstance(raw, RawTables)
-                   for t in (raw.tracks, raw.tracks_meta)]
-        try:
-            return all(frame.select(frame.columns[0]).limit(1).collect() is not None for frame in frames)
-        except Exception:
-            return False
+        """Whether the stage tables are still there, by a look at their folders; no job is run."""
+        return all(_stamp(self.spark, path) is not None for path in self._places)
 
 
 def _stamp(spark: SparkSession, path: str) -> tuple | None:
@@ -77,7 +75,8 @@ def _stamp(spark: SparkSession, path: str) -> tuple | None:
     system = location.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(location):
         return None
-    return (system.getContentSummary(location).getLength(), system.getFileStatus(location).getModificationTime())
+    status = system.getFileStatus(location)
+    return (status.getLen() if status.isFile() else system.getContentSummary(location).getLength(), status.getModificationTime())
 
 
 def open_workspace(spark: SparkSession, folder: str, p: Params = ACTIVITY_PARAMS) -> Workspace:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from kerbline.operators.alignment import resample
 from kerbline.operators.hexbin import hexbin
 from kerbline.operators.intervals import hop_windows, runs, slice_frames
-from kerbline.operators.matching import nearest_by_speed
+from kerbline.operators.matching import build_tree, descend, nearest_by_speed
 from kerbline.operators.ordered import number_rows
+from kerbline.operators import quantiles
 from kerbline.operators.quantiles import summarise
 from kerbline.operators.sampling import head_per_group, sample_rows
 from kerbline.operators.smoothing import with_smoothed
@@ -179,6 +180,22 @@ def test_distributed_quantiles_equal_numpy(spark):
     assert total.q == pytest.approx(np.percentile([r[1] for r in rows if r[1] is not None], 25))
 
 
+@pytest.mark.parametrize("accuracy", [20, 100])
+def test_quantiles_of_large_groups_come_from_brackets(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = random.Random(accuracy)
+    draws = (lambda: rng.gauss(0, 1), lambda: float(rng.choice([1, 1, 1, 2, 50])), lambda: 7.0, lambda: rng.random() ** 9)
+    rows = [(g, draws[g]()) for g in range(4) for _ in range(3000)] + [(4, None), (5, 1.5)]
+    df = spark.createDataFrame(rows, "g int, a double").repartition(7)
+    wanted = [("a", q, f"q{int(q * 1000)}") for q in (0.0, 0.05, 0.1, 0.5, 0.9, 0.999, 1.0)]
+    for r in quantiles.summarise(df, ["g"], [], wanted).collect():
+        values = [v for g, v in rows if g == r.g and v is not None]
+        for _, q, name in wanted:
+            assert r[name] == (pytest.approx(np.percentile(values, 100 * q), rel=1e-12, abs=1e-15) if values else None)
+    plan = quantiles.summarise(df, ["g"], [], wanted)._jdf.queryExecution().toString()
+    assert "percentile_approx" in plan and "rangepartitioning" not in plan
+
+
 def test_nearest_neighbour_equals_all_pairs(spark):
     rng = random.Random(4)
     speeds = [20.0, 20.5, 21.0, 25.0, None]
@@ -198,6 +215,29 @@ def test_nearest_neighbour_equals_all_pairs(spark):
     assert found == expected and expected
 
 
+@pytest.mark.parametrize("shape", ["spread", "cluster far away", "one line"])
+def test_nearest_neighbour_with_all_durations_different(spark, shape):
+    rng = random.Random(6)
+    at = {"spread": lambda: (rng.uniform(5, 11), rng.uniform(10, 40)),
+          "cluster far away": lambda: (8 + rng.uniform(0, 0.01), 30 + rng.uniform(0, 0.01)),
+          "one line": lambda: (rng.uniform(7, 9), 20.0)}[shape]
+    cands = [(1, 1, i, *at()) for i in range(1000)]
+    probes = [(1, 1, i, rng.uniform(6, 10), rng.uniform(10, 40)) for i in range(1000)]
+    pdf = spark.createDataFrame(probes, "recordingId int, veh_class int, l2_event_id long, probe_duration double, probe_speed double")
+    cdf = spark.createDataFrame(cands, "recordingId int, veh_class int, base_id long, cand_duration double, cand_speed double")
+    tree = build_tree(cdf)
+    assert len(tree.levels) == 3
+    assert sum(front.count() for front in descend(pdf, tree, TINY)) < 100 * len(probes)
+    duration, speed = (np.array([c[k] for c in cands]) for k in (3, 4))
+    expected = {}
+    for _, _, i, d, v in probes:
+        cost = np.where(np.abs(duration - d) <= 2.0, ((d - duration) / 2) ** 2 + ((v - speed) / 5) ** 2, np.inf)
+        if np.isfinite(cost.min()):
+            expected[i] = int(cost.argmin())
+    found = {r.l2_event_id: r.base_id for r in nearest_by_speed(pdf, cdf, TINY).collect()}
+    assert found == expected
+
+
 def test_resampling(spark):
     p = Params(frame_rate=1.0)
     rows = spark.createDataFrame(

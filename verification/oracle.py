@@ -206,6 +206,14 @@ STEPS = {
           b.end_frame AS base_end_frame, b.mean_TTC AS base_mean_TTC
         FROM conf_m c LEFT JOIN ranked r ON r.recordingId = c.recordingId AND r.event_id = c.event_id AND r.place = 1
         LEFT JOIN calm_m b ON b.recordingId = c.recordingId AND b.event_id = r.base_id""",
+    "milder": """
+        SELECT c.recordingId AS rec_id, c.event_id - 1 AS event_id, c.event_id AS l2_event_id, b.event_id AS base_event_id, c.duration,
+          b.duration AS duration_base, c.mean_v AS mean_v_conf, b.mean_v AS mean_v_base, c.E_CO2 - b.E_CO2 AS MEC_CO2_per_event,
+          row_number() OVER (PARTITION BY c.recordingId, c.event_id ORDER BY
+            pow((c.duration - b.duration) / 2.0, 2) + pow((c.mean_v - b.mean_v) / 5.0, 2), b.event_id) AS place
+        FROM conf_m c LEFT JOIN conf_m b ON b.recordingId = c.recordingId AND b.veh_class = c.veh_class
+          AND abs(b.duration - c.duration) <= 2.0 AND b.min_TTC_conf >= 2.0
+        WHERE c.min_TTC_conf < 2.0""",
     "mec": "SELECT *, E_real_CO2_per_km - E_base_CO2_per_km AS MEC_CO2_per_km FROM matched",
     "binned": """
         SELECT *, CASE veh_class WHEN 1 THEN 'Car' WHEN 2 THEN 'Truck' END AS vclass,
@@ -347,6 +355,8 @@ _QUERIES = {
           AND f.frame BETWEEN c.start_frame AND c.end_frame GROUP BY c.recordingId, c.event_id)""",
     "mec_match": f"""SELECT {_ints('rec_id', 'event_id', 'l2_event_id', 'ego_id', 'veh_class', 'base_event_id', 'base_ego_id',
         'base_start_frame', 'base_end_frame')}, flow_state, MEC_bucket, {_rs(*_MEC_REAL)} FROM mec""",
+    "mec_match_varied": f"""SELECT {_ints('rec_id', 'event_id', 'l2_event_id', 'base_event_id')},
+        {_rs('duration', 'duration_base', 'mean_v_conf', 'mean_v_base', 'MEC_CO2_per_event')} FROM milder WHERE place = 1""",
     "mec_headline": f"SELECT count(*) AS n_events, {_q(_M, 0.5, 'median')}, {_q(_M, 0.1, 'p10')}, {_q(_M, 0.9, 'p90')} FROM mec",
     "mec_bucket_median": f"SELECT MEC_bucket, count(*) AS n_events, {_q(_M, 0.5, 'median_MEC_CO2_per_km')} FROM mec GROUP BY MEC_bucket",
     "mec_debug_summary": f"""SELECT count(*) AS n_events, {_r(f'avg({_M})', 'mec_per_km_mean')}, {_q(_M, 0.5, 'mec_per_km_median')},
