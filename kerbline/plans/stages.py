@@ -23,7 +23,7 @@ from kerbline.params import Params
 from kerbline.plans import behaviour, coupling, events, l1, mec, mec_report, profile, sweep
 from kerbline.schemas import BASELINES, CONFLICTS, L1
 from kerbline.sources.raw import read_raw
-from kerbline.sources.tables import read_recordings, write_csv, write_recordings, write_table
+from kerbline.sources.tables import read_recordings, read_table, write_csv, write_recordings, write_table
 
 _WORKING_TYPES = {"row_idx": T.LongType(), "n_rows": T.LongType(), "lane_changed": T.BooleanType(), "frame_s": T.DoubleType()}
 L1_STORED = T.StructType(L1.fields + [T.StructField(c, _WORKING_TYPES[c], True) for c in WORKING])
@@ -71,22 +71,22 @@ def explore(spark: SparkSession, out: str, p: Params = Params(), ids: Sequence[i
 def build_costs(spark: SparkSession, out: str, p: Params = Params(), ids: Sequence[int] | None = None) -> None:
     table = mec.match_baselines(read_frames(spark, out, ids), *read_events(spark, out, ids), p)
     write_table(table, f"{out}/mec")
-    _report({"mec_debug_summary": mec_report.debug_summary(spark.read.parquet(f"{out}/mec"), p)}, out)
+    _report({"mec_debug_summary": mec_report.debug_summary(read_table(spark, f"{out}/mec"), p)}, out)
 
 
 def report_costs(spark: SparkSession, out: str, p: Params = Params()) -> None:
-    table = spark.read.parquet(f"{out}/mec")
+    table = read_table(spark, f"{out}/mec")
     _report({"mec_basic_stats": mec_report.basic_stats(table, p), "mec_summary": mec_report.summary_table(table, p)}, out)
 
 
 def profile_behaviour(spark: SparkSession, out: str, p: Params = Params(), k: int = 3, all_features: bool = False) -> None:
     """Clusters use the four cost and severity features; ``all_features`` adds the kinematic ones."""
     frames = read_frames(spark, out)
-    chosen = behaviour.clustering_events(spark.read.parquet(f"{out}/mec"))
+    chosen = behaviour.clustering_events(read_table(spark, f"{out}/mec"))
     if all_features:
         chosen = behaviour.kinematic_extremes(frames, chosen, p)
     write_table(behaviour.cluster_events(chosen, k), f"{out}/clusters")
-    clustered = spark.read.parquet(f"{out}/clusters")
+    clustered = read_table(spark, f"{out}/clusters")
     _report({"cluster_summary": behaviour.cluster_summary(clustered, p),
              "cluster_curves": behaviour.cluster_curves(frames, clustered, p)}, out)
 
