@@ -321,11 +321,35 @@ def _contents(table: pa.Table) -> tuple:
     return [d for _, d in number], anchor, least, segment
 
 
+def may_share(anchor: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which segments can share a window with another one of their anchor.
+
+    A window holds half of its bytes beside the anchor, or more, on one side of it: segments that share one also share the
+    gram that ends there. Segments in which the anchor's hash does not occur, which are windows of hot anchors, always may.
+    """
+    half = (SPAN - GRAM) // 2
+    starts = np.cumsum(sizes) - sizes
+    hashes = _gram_hashes(data)
+    segment = np.repeat(np.arange(len(sizes)), sizes)[:len(hashes)]
+    hits = np.flatnonzero(hashes == anchor[segment])
+    hits = hits[hits - starts[segment[hits]] <= sizes[segment[hits]] - GRAM]
+    own, first = np.unique(segment[hits], return_index=True)
+    place = hits[first]
+    out = np.ones(len(sizes), bool)
+    out[own] = False
+    for gram, inside in ((place + half, place + half + GRAM <= starts[own] + sizes[own]), (place - half, place - half >= starts[own])):
+        side = own[inside]
+        met = hashes[gram[inside]] ^ (anchor[side] * np.uint64(BASE))
+        _, kind, count = np.unique(met, return_inverse=True, return_counts=True)
+        out[side[count[kind] > 1]] = True
+    return out
+
+
 def _sort_shard(groups: int):
     """What a shard removes, as runs of windows, by group of documents.
 
-    Equal segments go into the order once, with their least key. A segment without another one at its anchor shares no
-    window with any, so that its entries of greater keys are removed whole without sorting it.
+    Equal segments go into the order once, with their least key. A segment that can't share a window with a different one
+    has its entries of greater keys removed whole without being sorted.
     """
     def sort(table: pa.Table) -> pa.Table:
         docs, tags, firsts, lengths = (_joined(table, c, k) for c, k in zip(
@@ -336,6 +360,8 @@ def _sort_shard(groups: int):
             alike = anchor[order[1:]] == anchor[order[:-1]]
             met = order[np.concatenate((alike, [False])) | np.concatenate(([False], alike))]
             runs: dict[int, list] = {}
+            if len(met):
+                met = met[may_share(anchor[met], np.array([len(contents[k]) for k in met]), np.frombuffer(b"".join(contents[k] for k in met), np.uint8))]
             if len(met):
                 sizes = np.array([len(contents[k]) for k in met])
                 found = repeated_windows(least[met], sizes, np.frombuffer(b"".join(contents[k] for k in met), np.uint8))
