@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -59,25 +60,53 @@ def only_recordings(df: DataFrame, ids: Sequence[int] | None, strict: bool = Fal
     return kept
 
 
+def _headers(spark: SparkSession, folder: str, suffix: str, ids: Sequence[int] | None) -> dict[str, list[str]]:
+    """The files of a kind by their header line. Of each file only the beginning is read, on the driver."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if ids is None:
+        files = system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/*_{suffix}.csv")) or []
+        paths = [status.getPath() for status in files]
+    else:
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{folder}/{int(i):02d}_{suffix}.csv") for i in ids]
+    found: dict[str, list[str]] = {}
+    for path in paths:
+        if not system.exists(path):
+            raise FileNotFoundError(f"{path} does not exist")
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(path), "UTF-8"))
+        try:
+            found.setdefault((lines.readLine() or "").strip(), []).append(path.toString())
+        finally:
+            lines.close()
+    if not found:
+        raise FileNotFoundError(f"{folder}/*_{suffix}.csv does not exist")
+    return found
+
+
 def _csv(spark: SparkSession, schema: T.StructType, folder: str, suffix: str,
-         ids: Sequence[int] | None) -> DataFrame:
+         ids: Sequence[int] | None, numbered: bool = False) -> DataFrame:
     """The columns that the files have, in the types of ``schema``; those it does not know are text.
 
-    All files of a kind must have one header, else Spark raises an error.
+    Files of one header are read together; a column that only some headers have is null in the other files. An empty file has
+    no rows. ``numbered`` adds the recording that the file's name begins with.
     """
-    paths = folder if ids is None else [f"{folder}/{int(i):02d}_{suffix}.csv" for i in ids]
-    options = {"header": True, "nanValue": "NaN", "pathGlobFilter": f"*_{suffix}.csv"}
     known = {f.name: f.dataType for f in schema.fields}
-    header = spark.read.options(**options).csv(paths).columns
-    present = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
-    df = spark.read.schema(present).options(**options, enforceSchema=False).csv(paths)
-    doubles = [f.name for f in present.fields if f.dataType == T.DoubleType()]
-    return df.withColumns({c: F.nanvl(c, F.lit(None)) for c in doubles})
+    options = {"header": True, "nanValue": "NaN", "enforceSchema": False}
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)_", 1).cast("int")
 
+    def read(paths: list[str]) -> DataFrame:
+        names = spark.read.options(**options).csv(paths).columns
+        present = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in names])
+        df = spark.read.schema(present).options(**options).csv(paths)
+        doubles = [f.name for f in present.fields if f.dataType == T.DoubleType()]
+        df = df.withColumn("recordingId", number) if numbered else df
+        return df.withColumns({c: F.nanvl(c, F.lit(None)) for c in doubles})
 
-def _with_recording(df: DataFrame) -> DataFrame:
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)_", 1).cast("int")
-    return df.withColumn("recordingId", number)
+    parts = [read(paths) for header, paths in sorted(_headers(spark, folder, suffix, ids).items()) if header]
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("recordingId", T.IntegerType())]) if numbered else schema)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_recording_meta(spark: SparkSession, folder: str, ids: Sequence[int] | None = None) -> DataFrame:
@@ -85,11 +114,11 @@ def read_recording_meta(spark: SparkSession, folder: str, ids: Sequence[int] | N
 
 
 def read_tracks_meta(spark: SparkSession, folder: str, ids: Sequence[int] | None = None) -> DataFrame:
-    return _with_recording(_csv(spark, TRACKS_META, folder, "tracksMeta", ids))
+    return _csv(spark, TRACKS_META, folder, "tracksMeta", ids, numbered=True)
 
 
 def read_tracks(spark: SparkSession, folder: str, ids: Sequence[int] | None = None) -> DataFrame:
-    return _with_recording(_csv(spark, TRACKS, folder, "tracks", ids))
+    return _csv(spark, TRACKS, folder, "tracks", ids, numbered=True)
 
 
 def read_raw(spark: SparkSession, folder: str, ids: Sequence[int] | None = None) -> RawTables:

@@ -213,6 +213,24 @@ def test_recordings_are_built_one_after_another(spark, tmp_path):
     assert [r[0] for r in read_recordings(spark, path).select("recordingId").distinct().collect()] == [3]
 
 
+def test_files_of_one_folder_may_have_different_columns(spark, tmp_path):
+    (tmp_path / "01_tracks.csv").write_text("frame,id,x,y,xVelocity,note\n1,7,1.5,2,20,early\n2,7,2.5,2,NaN,\n")
+    (tmp_path / "02_tracks.csv").write_text("id,frame,y,x,laneId\n9,1,4,3.5,6\n")
+    (tmp_path / "03_tracks.csv").write_text("frame,id,x,y,xVelocity,note\n1,8,0,0,1,z\n")
+    (tmp_path / "04_tracks.csv").write_text("")
+    tracks = read_tracks(spark, str(tmp_path)).orderBy("recordingId", "frame")
+    types = {f.name: f.dataType for f in TRACKS.fields}
+    assert all(f.dataType == types[f.name] for f in tracks.schema.fields if f.name in types)
+    rows = tracks.select("recordingId", "frame", "id", "x", "y", "xVelocity", "laneId", "note").collect()
+    assert [tuple(r) for r in rows] == [
+        (1, 1, 7, 1.5, 2.0, 20.0, None, "early"), (1, 2, 7, 2.5, 2.0, None, None, None), (2, 1, 9, 3.5, 4.0, None, 6, None),
+        (3, 1, 8, 0.0, 0.0, 1.0, None, "z")]
+    assert read_tracks(spark, str(tmp_path), [2]).columns == ["id", "frame", "y", "x", "laneId", "recordingId"]
+    assert read_tracks(spark, str(tmp_path), [4]).count() == 0
+    plan = read_tracks(spark, str(tmp_path)).select("x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2  # one scan per header
+
+
 def counts(spark, path):
     return {r[0]: r[1] for r in read_recordings(spark, path).groupBy("recordingId").count().collect()}
 
