@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -10,18 +11,17 @@ from tests.llm.fixtures import LABELS, ODD, docs, prose
 ITEMS = "item_id bigint, text string, score double"
 
 
-def plain_scores(items, passage):
-    """BM25 share of every item for one passage, without an index."""
+def plain_weights(items):
+    """BM25 shares of every item's terms."""
     words = {i: leaks.words_of(t) for i, t in items}
     mean = sum(map(len, words.values())) / len(words)
+    df = collections.Counter(t for own in words.values() for t in set(own))
     out = {}
     for i, own in words.items():
         weight = {}
-        for t in set(own):
-            n = sum(t in w for w in words.values())
-            tf = own.count(t)
-            weight[t] = math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
-        out[i] = sum(w for t, w in weight.items() if t in passage) / sum(weight.values())
+        for t, tf in collections.Counter(own).items():
+            weight[t] = math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        out[i] = {t: w / sum(weight.values()) for t, w in weight.items()}
     return out
 
 
@@ -33,24 +33,72 @@ def index_of(items):
     return leaks.build_index(items, found, len(items), sum(len(leaks.words_of(t)) for _, t in items) / len(items))
 
 
-def test_retrieval_finds_every_item_above_the_threshold():
-    items = [(i, prose(i, 12 + i % 9)) for i in range(70)]
-    searcher = leaks.Searcher(index_of(items))
+def plain_retrieval(items, texts):
+    """Every window of every item's own size, scored without an index."""
+    out = {}
+    weights = plain_weights(items)
+    for k, words in enumerate(texts):
+        windows = {half: [set(words[at:at + 2 * half]) for at in range(0, len(words), half)] for half in (64, 128, 256)}
+        for number, (i, t) in enumerate(items):
+            half = leaks.half_of(len(leaks.words_of(t)))
+            for n, window in enumerate(windows[half]):
+                score = sum(s for term, s in weights[i].items() if term in window)
+                if score >= leaks.THRESHOLD:
+                    out[k, n * half, number] = score
+    return out
+
+
+@pytest.fixture(scope="module")
+def searches():
+    """Items of three length classes, texts that hold pieces of them, and the plain result."""
+    items = [(i, prose(i, 12 + i % 9)) for i in range(40)] + [(40 + i, prose(900 + i, 66 + 9 * i)) for i in range(4)] + [(50, prose(950, 140))]
     drawn = random.Random(2)
     texts = []
-    for k in range(60):
-        words = prose(1000 + k, drawn.randrange(0, 150)).split()
+    for k in range(40):
+        words = prose(1000 + k, drawn.randrange(0, 300)).split()
         for _ in range(drawn.randrange(3)):
             at = drawn.randrange(len(words) + 1)
-            own = items[drawn.randrange(70)][1].split()
+            own = items[drawn.randrange(len(items))][1].split()
             words[at:at] = own[:drawn.randrange(1, len(own) + 1)]
         texts.append(words)
-    half = searcher.index.half
-    expected = {(k, w, i) for k, words in enumerate(texts) for w in range(-(-len(words) // half))
-                for i, s in plain_scores(items, set(words[w * half:(w + 2) * half])).items() if s >= leaks.THRESHOLD}
-    found = searcher.retrieve(texts)
-    assert {(k, w, i) for k, w, i, _ in found} == expected and expected
-    assert all(abs(plain_scores(items, set(texts[k][w * half:(w + 2) * half]))[i] - s) < 1e-9 for k, w, i, s in found)
+    return items, texts, plain_retrieval(items, texts)
+
+
+@pytest.mark.parametrize("entries", [leaks.GROUP_ENTRIES, 50, 1])
+@pytest.mark.parametrize("block", [leaks.BLOCK_ITEMS, 3])
+def test_retrieval_finds_every_item_above_the_threshold(searches, monkeypatch, entries, block):
+    items, texts, expected = searches
+    monkeypatch.setattr(leaks, "GROUP_ENTRIES", entries)
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", block)
+    found = {(k, at, i): s for k, at, i, s in leaks.Searcher(index_of(items)).retrieve(texts)}
+    assert found.keys() == expected.keys() and {leaks.half_of(len(items[i][1].split())) for *_, i in found} == {64, 128, 256}
+    assert all(abs(found[hit] - s) < 1e-9 for hit, s in expected.items())
+
+
+def test_blocks_are_skipped():
+    """A common word stands in every block; only windows with an item's rarer words open any."""
+    items = [(i, f"the and of {' '.join(f'{c}{i}' for c in 'abcdefghijkl')}") for i in range(640)]
+    searcher = leaks.Searcher(index_of(items))
+    texts = [f"the and of {prose(5000 + k, 60)}".split() for k in range(50)] + [f"{prose(6000, 40)} {items[7][1]}".split()]
+    assert {(k, i) for k, _, i, s in searcher.retrieve(texts) if s > 0.99} == {(50, 7)}
+    assert searcher.scored == 1 and searcher.opened < 20 and searcher.listed > 100
+
+
+def test_groups_have_bounded_work_and_cover_everything():
+    costs = leaks.np.array([3, 0, 9, 1, 1, 1, 0, 20, 2])
+    groups = list(leaks._groups(costs, 4))
+    assert [n for g in groups for n in range(g.start, g.stop)] == list(range(9))
+    assert all(costs[g].sum() <= 4 or g.stop - g.start == 1 for g in groups)
+
+
+def test_other_items_change_nothing(spark):
+    """Question and answer of a short item 900 words apart are no leak of it, whatever long items there are besides."""
+    short = "Which river crosses the old town of the northern province? " + prose(1, 12)
+    question, answer = short.split("?")
+    rows = docs(spark, [(1, f"{question}? {prose(77, 900)} {answer}"), (2, f"{prose(78, 300)} {short} {prose(79, 300)}")])
+    for others in ([], [(2, prose(80, 3000))]):
+        items = spark.createDataFrame([(1, short, 0.0), *((i, t, 0.0) for i, t in others)], ITEMS)
+        assert [(r.doc_id, r.item_id) for r in leaks.find_leaks(rows, items).collect()] == [(2, 1)]
 
 
 def test_question_and_answer():
@@ -93,8 +141,15 @@ def test_query_seven_equals_a_plain_search(spark):
     whole = {(d, i) for d, words in rows.items() for i, own in items.items() if f" {' '.join(own)} " in f" {' '.join(words)} "}
     found = {(r.doc_id, r.item_id) for r in queries.op7_decontamination(spark, SMALL).collect()}
     assert whole <= found and whole
-    for d, i in found - whole:
-        assert len(leaks.grams_of(items[i], 5) & leaks.grams_of(rows[d], 5)) >= 0.5 * len(leaks.grams_of(items[i], 5))
+    stated = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    numbers, texts = list(rows), list(rows.values())
+    verified = set()
+    for k, at, n in plain_retrieval(list(stated.items()), texts):
+        i = list(stated)[n]
+        passage = texts[k][at:at + 2 * leaks.half_of(len(items[i]))]
+        if all(leaks.overlap(part, passage) >= leaks.OVERLAP for part in leaks.parts_of(stated[i])):
+            verified.add((numbers[k], i))
+    assert found == verified
 
 
 def distance(a, b):
