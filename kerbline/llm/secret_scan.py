@@ -1,9 +1,10 @@
-"""Secret scans: fixed forms, and long tokens that look random to a pair of character Markov models.
+"""Secret scans: fixed forms, and tokens that look random to a pair of character Markov models.
 
 One model is of random strings, one of ordinary identifiers and words. Both are first-order chains over ASCII letters,
-digits and the characters of keys, trained on labelled samples that the corpus itself gives: what the fixed forms catch is
-random, other long tokens made of words are ordinary. A token is a secret if its log-likelihood ratio, in all and per character, is
-high enough. The counts cover the whole corpus; each task sums its own and hands on one row per class.
+digits and the characters of keys, trained on labelled samples that the corpus itself gives: the values that the fixed forms
+catch are random, other tokens made of words are ordinary. A token, or what a fixed form leaves of it, is a secret if its
+log-likelihood ratio, in all and per character, is high enough. The counts cover the whole corpus; each task sums its own and
+hands on one row per class.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kerbline.llm.texts import SLICE_ROWS, map_rows
+from kerbline.llm.texts import SLICE_ROWS, map_rows, quoted
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -25,9 +26,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=-]{16,}")
-#: What an ordinary long token is made of: words in lower case, capitalised or in capitals, and a number at the end.
-ORDINARY = re.compile(r"[A-Z]?[a-z]+(?:[_-]?[A-Z]?[a-z]{2,})*[_-]?[0-9]{0,4}|[A-Z]{2,}(?:[_-][A-Z]{2,})*[_-]?[0-9]{0,4}")
+#: Characters of the shortest token that is scored.
+SHORTEST = 10
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: What an ordinary token is made of: words in lower case, capitalised or in capitals, and a number at the end.
+ORDINARY = re.compile(r"[A-Z]?[a-z]++(?:[_-]?[A-Z][a-z]{2,}+|[_-][a-z]{2,}+)*+[_-]?[0-9]{0,4}|[A-Z]{2,}+(?:[_-][A-Z]{2,}+)*+[_-]?[0-9]{0,4}")
 WIDTH = len(ALPHABET) + 1  # and the start
 CODE = np.full(128, WIDTH - 1, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -52,58 +55,82 @@ def _order(span: Span) -> tuple[int, int]:
     return span[0], KINDS.index(span[2])
 
 
-def free_tokens(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Long tokens that overlap none of the spans."""
-    return [m.span() for m in TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in taken)]
+def values(text: str) -> list[str]:
+    """What the fixed forms hold as secrets: the value of an assignment without its keyword, keys as a whole."""
+    assigned = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if ":" in text or "=" in text else []
+    return assigned + [text[a:b] for a, b, kind in base_spans(text) if kind != "assign"]
 
 
-def steps(token: str) -> np.ndarray:
-    """The transitions of a token as places in the flat count table."""
-    codes = CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
-    return np.concatenate(([WIDTH - 1], codes[:-1])) * WIDTH + codes
+def free_tokens(text: str, taken: list[Span]) -> list[tuple[int, int]]:
+    """Tokens outside the spans, which are in order of their starts. What a span leaves of a token is a token itself."""
+    found, nth = [], 0
+    for m in TOKEN.finditer(text):
+        at, end = m.span()
+        while nth < len(taken) and taken[nth][0] < end:
+            start, stop, _ = taken[nth]
+            if start - at >= SHORTEST:
+                found.append((at, start))
+            at = max(at, stop)
+            if stop > end:
+                break  # it may cover the next token too
+            nth += 1
+        if end - at >= SHORTEST:
+            found.append((at, end))
+    return found
+
+
+def steps(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions of the tokens, one after another, as places in the flat count table, and where each token starts.
+
+    Tokens are ASCII. After each but the last comes a step to the start of the next, which stands in the table's last column.
+    """
+    codes = CODE[np.frombuffer("\n".join(tokens).encode("ascii"), np.uint8)]
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    return np.concatenate(([WIDTH - 1], codes[:-1])) * WIDTH + codes, lengths.cumsum() - lengths
 
 
 @dataclass(frozen=True)
 class Ratio:
-    """Log-likelihood ratios of the transitions, random over ordinary."""
+    """Log-likelihood ratios of the transitions, random over ordinary; 0 in the last column."""
 
     table: np.ndarray
 
-    def is_random(self, token: str) -> bool:
-        total = float(self.table[steps(token)].sum())
-        return total >= LEAST_RATIO and total >= LEAST_PER_CHARACTER * len(token)
+    def are_random(self, tokens: list[str]) -> list[bool]:
+        if not tokens:
+            return []
+        places, starts = steps(tokens)
+        total = np.add.reduceat(self.table[places], starts)
+        lengths = np.diff(starts, append=len(places) + 1) - 1
+        return ((total >= LEAST_RATIO) & (total >= LEAST_PER_CHARACTER * lengths)).tolist()
 
 
 def train(docs: DataFrame, text: str = "text") -> Ratio:
     """Both models from counts over all texts. Without ordinary tokens the models are alike and find nothing."""
 
-    def start():
-        def handle(rows):
-            for (t,) in rows:
-                if t:
-                    found = base_spans(t)
-                    yield from (("random", t[a:b].rpartition("=")[2].strip("\"' ") if k == "assign" else t[a:b])
-                                for a, b, k in found)
-                    yield from (("ordinary", t[a:b]) for a, b in free_tokens(t, found) if ORDINARY.fullmatch(t, a, b))
-        return handle
-
     def tally(batches):
         sums = {"random": np.zeros(WIDTH * WIDTH, np.int64), "ordinary": np.zeros(WIDTH * WIDTH, np.int64)}
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                for kind, token in start()([(t,) for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist()]):
-                    if token and token.isascii():
-                        np.add.at(sums[kind], steps(token), 1)
+                for t in filter(None, batch.column(0).slice(at, SLICE_ROWS).to_pylist()):
+                    samples = {"random": values(t), "ordinary": [
+                        t[a:b] for a, b in free_tokens(t, base_spans(t)) if ORDINARY.fullmatch(t, a, b)]}
+                    for kind, tokens in samples.items():
+                        if tokens:
+                            sums[kind] += np.bincount(steps(tokens)[0], minlength=WIDTH * WIDTH)
+        for counts in sums.values():
+            counts[WIDTH - 1::WIDTH] = 0  # steps from one token to the next
         yield pa.RecordBatch.from_pydict({"kind": list(sums), "counts": [s.tolist() for s in sums.values()]},
                                          schema=pa.schema([("kind", pa.string()), ("counts", pa.list_(pa.int64()))]))
 
-    parts = docs.select(F.col(text)).mapInArrow(tally, "kind string, counts array<bigint>")
+    parts = docs.select(quoted(text)).mapInArrow(tally, "kind string, counts array<bigint>")
     summed = parts.select("kind", F.posexplode("counts").alias("place", "n")).groupBy("kind", "place").agg(F.sum("n").alias("n"))
     # Two tables of a fixed size.
     counts = {kind: np.zeros((WIDTH, WIDTH)) for kind in ("random", "ordinary")}
     for row in summed.where("n > 0").collect():
         counts[row.kind][divmod(row.place, WIDTH)] += row.n
-    return Ratio((_chances(counts["random"], 0.5, 50.0) - _chances(counts["ordinary"], 0.0, 5.0)).ravel())
+    table = _chances(counts["random"], 0.5, 50.0) - _chances(counts["ordinary"], 0.0, 5.0)
+    table[:, WIDTH - 1] = 0.0
+    return Ratio(table.ravel())
 
 
 def _chances(counts: np.ndarray, even: float, weight: float) -> np.ndarray:
@@ -118,7 +145,9 @@ def _chances(counts: np.ndarray, even: float, weight: float) -> np.ndarray:
 
 def all_spans(text: str, ratio: Ratio) -> list[Span]:
     found = base_spans(text)
-    return sorted(found + [(a, b, "markov") for a, b in free_tokens(text, found) if ratio.is_random(text[a:b])], key=_order)
+    free = free_tokens(text, found)
+    random = ratio.are_random([text[a:b] for a, b in free])
+    return sorted(found + [(a, b, "markov") for (a, b), is_random in zip(free, random) if is_random], key=_order)
 
 
 def written(spans: list[Span]) -> str:
@@ -143,7 +172,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return handle
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), f"`{key}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, "
+    return map_rows(docs.select(quoted(key), quoted(text)), f"`{key}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, "
                     "base_sha256 string, spans string", start)
 
 
@@ -160,15 +189,19 @@ def masked(text: str, ratio: Ratio, mask: str) -> str:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with secrets masked in the text and the length column, if there is one, brought up to date. Null texts stay null."""
+    """``docs`` with secrets masked in the text and the length column, if there is one, brought up to date.
+
+    Null texts stay null, with their length as it is, and empty ones empty. Each row is masked by itself, so repeated rows are masked alike; an
+    empty table stays empty. Extra columns may have any names (dots included) and are kept as they are.
+    """
     ratio = train(docs, text)
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([t and masked(t, ratio, mask) for at in range(0, len(texts), SLICE_ROWS)
                          for t in texts.slice(at, SLICE_ROWS).to_pylist()], pa.string())
 
-    done = docs.withColumn(text, F.arrow_udf(run, "string").asNondeterministic()(F.col(text)))
+    done = docs.withColumn(text, F.arrow_udf(run, "string").asNondeterministic()(quoted(text)))
     if length in docs.columns:
-        done = done.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(
-            F.length(text)).cast(docs.schema[length].dataType))
-    return done.select(*docs.columns)
+        done = done.withColumn(length, F.when(quoted(text).isNull(), quoted(length)).otherwise(
+            F.length(quoted(text))).cast(docs.schema[length].dataType))
+    return done

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -111,6 +112,58 @@ def test_masking_keeps_rows_and_the_rest_of_the_text(spark, corpus):
     assert found[1].text is None
 
 
+def test_short_keys_and_what_a_form_leaves_of_a_token(spark, corpus):
+    """Keys of 12 characters, and both ends of a key whose middle is a hex run, are found; words of that length are not."""
+    ratio = secret_scan.train(corpus)
+    keys = [random_token(("short", i), 12) for i in range(100)]
+    assert sum(ratio.are_random(keys)) >= 90
+    words = [w for i in range(300) for w in prose(i, 40).split() if len(w) >= secret_scan.SHORTEST and w.isalpha()]
+    assert not any(ratio.are_random(words))
+    head, tail = random_token("head", 20), random_token("tail", 20)
+    text = f"see {head[:-1]}Q{'0123456789abcdef' * 2}Z{tail[1:]} there"
+    assert secret_scan.written(secret_scan.all_spans(text, ratio)) == "markov:4:24,hex:24:56,markov:56:76"
+    assert secret_scan.masked(text, ratio, "#") == "see ### there"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SECRETS, max_size=14).map("".join), st.integers(0, 9))
+def test_scored_tokens_equal_their_statement(text, seed):
+    """Maximal stretches of key characters that no fixed form covers, scored one character after another."""
+    table = secret_scan.np.random.default_rng(seed).normal(0.8, 1.0, (secret_scan.WIDTH, secret_scan.WIDTH))
+    table[:, -1] = 0.0
+    covered = {n for a, b, _ in plain_base(text) for n in range(a, b)}
+    shown = "".join(c if c in secret_scan.ALPHABET and n not in covered else "\0" for n, c in enumerate(text))
+    # A stretch ends where a span starts even if no character lies between.
+    expected = []
+    for m in re.finditer(r"[^\0]{%d,}" % secret_scan.SHORTEST, shown):
+        total, last = 0.0, secret_scan.WIDTH - 1
+        for c in m[0]:
+            total, last = total + table[last, secret_scan.ALPHABET.index(c)], secret_scan.ALPHABET.index(c)
+        if total >= secret_scan.LEAST_RATIO and total >= secret_scan.LEAST_PER_CHARACTER * len(m[0]):
+            expected.append(m.span())
+    found = secret_scan.all_spans(text, secret_scan.Ratio(table.ravel()))
+    assert [(a, b) for a, b, kind in found if kind == "markov"] == expected
+
+
+def test_long_texts_take_time_in_proportion():
+    text = " ".join(f"token={random_token(i)} plain{i}identifier {key(i)}" for i in range(50000))
+    ratio = secret_scan.Ratio(secret_scan.np.zeros(secret_scan.WIDTH ** 2))
+    start = time.monotonic()
+    assert len(secret_scan.all_spans(text, ratio)) == 100000 and len(text) > 5_000_000
+    assert time.monotonic() - start < 5
+    assert not secret_scan.ORDINARY.fullmatch("a" * 5000 + "=")
+
+
+def test_values_train_the_random_model():
+    assert secret_scan.values(f"token: q8Zr3kLmP0xV7 secret=abcdef== {'f' * 24}") == ["q8Zr3kLmP0xV7", "abcdef==", "f" * 24]
+
+
+def test_masking_takes_columns_of_any_name(spark, corpus):
+    rows = corpus.where("doc_id >= 1000").withColumn("a.b", secret_scan.F.lit(1)).withColumn("c`d", secret_scan.F.lit(2))
+    masked = secret_scan.mask_secrets(rows)
+    assert masked.columns == rows.columns and masked.count() == rows.count()
+
+
 def test_overlapping_spans_are_masked_once():
     ratio = secret_scan.Ratio(secret_scan.np.zeros(secret_scan.WIDTH ** 2))
     assert secret_scan.masked(f"a token={'f' * 30} b", ratio, "#") == "a # b"
