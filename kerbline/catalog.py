@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -185,6 +186,8 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "dq_emissions": lambda ws: checks.emission_checks(ws.l1),
     "dq_headway": lambda ws: checks.headway_check(ws.l1),
     "dq_ttc_quantiles": lambda ws: checks.ttc_quantiles(ws.l1, ws.p),
+    "dq_ttc_quantiles_closing": lambda ws: checks.ttc_quantiles(
+        add_safety(ws.l1, replace(ws.p, ttc_convention="closing")), ws.p),
     "dq_track_quality": lambda ws: checks.track_quality(ws.l1),
     "dq_raw_alignment": lambda ws: checks.raw_alignment(ws.l1, ws.raw.tracks),
     "dq_row_drift": lambda ws: profile.row_drift(ws.raw.tracks, ws.l1),

@@ -417,6 +417,8 @@ _QUERIES = {
         _EMISSIONS),
     "dq_headway": f"SELECT {_r('avg(CASE WHEN 0.0 > 0 THEN 1.0 ELSE 0.0 END)', 'pos_ratio')}, {_r('avg(abs(gap - 0.0))', 'mean_abs_diff')} FROM frames WHERE precedingId > 0",
     "dq_ttc_quantiles": f"SELECT {_q('ttc', 0.05, 'q_low')}, {_q('ttc', 0.95, 'q_high')} FROM frames WHERE precedingId > 0 AND rel > 0 AND gap > 0",
+    "dq_ttc_quantiles_closing": f"""SELECT {_q('ttc', 0.05, 'q_low')}, {_q('ttc', 0.95, 'q_high')} FROM (
+        SELECT CAST(gap / rel AS FLOAT) AS ttc FROM frames WHERE precedingId > 0 AND rel > 0 AND gap > 0)""",
     "dq_track_quality": f"""SELECT count(*) AS n_rows, {_r('avg(CASE WHEN vs < 0 THEN 1.0 ELSE 0.0 END)', 'v_negative_ratio')}, {_r('max(vs::DOUBLE)', 'v_max')},
         {_r('avg(CASE WHEN abs(acc) <= 10 THEN 1.0 ELSE 0.0 END)', 'a_inside_ratio')},
         {_r('avg(CASE WHEN co2 >= 0 THEN 1.0 ELSE 0.0 END)', 'co2_nonneg_ratio')},
