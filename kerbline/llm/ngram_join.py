@@ -22,8 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kerbline.llm.components import components
-from kerbline.llm.texts import map_rows, words_of
+from kerbline.llm.components import components, join_groups
+from kerbline.llm.texts import map_rows, quoted, words_of
 from kerbline.operators.store import materialize
 
 GRAM, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
@@ -89,13 +89,14 @@ class Sketcher:
 
 def row_id(key: str, text: str) -> Column:
     """Tells rows apart by key and text, of which each may be null."""
-    return F.unhex(F.md5(F.concat_ws("\x1f", F.col(key).isNull().cast("string"), F.col(key).cast("string"),
-                                     F.col(text).isNull().cast("string"), F.col(text))))
+    name, written = quoted(key), quoted(text)
+    return F.unhex(F.md5(F.concat_ws("\x1f", name.isNull().cast("string"), name.cast("string"),
+                                     written.isNull().cast("string"), written)))
 
 
-def sketch(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """Per row: key, row_id, digest and size of the n-gram set (null digest for none), and the band hashes."""
-    kind = docs.schema[key].dataType.simpleString()
+def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """Per row (key, row_id, text): key, row_id, digest and size of the n-gram set (null digest for none), and the band hashes."""
+    kind = docs.schema["key"].dataType.simpleString()
 
     def start():
         sketcher = Sketcher(bands, rows)
@@ -108,8 +109,8 @@ def sketch(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: in
                     yield name, row, None, 0, None
         return handle
 
-    return map_rows(docs.select(F.col(key), row_id(key, text).alias("row_id"), F.col(text)),
-                    f"`{key}` {kind}, row_id binary, digest binary, n_grams bigint, bands array<bigint>", start)
+    return map_rows(docs.select("key", "row_id", "text"),
+                    f"key {kind}, row_id binary, digest binary, n_grams bigint, bands array<bigint>", start)
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray], same: bool, similarity: float):
@@ -178,28 +179,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     class_id is the least key of the rows joined by links (null if none has a key); n_links is the number of other rows whose
     n-gram set is similar, copies among them; n_copies of rows with an equal set, itself among them; first marks the row (or
     repeated rows) that stands for the class. A text without words has no n-grams: its row is a class of its own without
-    links, even if there are several. Words are runs without white space, case kept.
+    links, even if there are several. Words are runs without white space, case kept. Key and text may have any
+    name but that of a result column; other columns are not read. An empty table gives an empty result.
     """
-    rows_ = materialize(sketch(docs, key, text, size, *choose_bands(similarity, recall)), "sketches")
-    ranked = F.struct(F.col(key).isNull().alias("without"), F.col(key).alias("key"), "row_id")
+    docs = docs.select(quoted(key).alias("key"), row_id(key, text).alias("row_id"), quoted(text).alias("text"))
+    rows_ = materialize(sketch(docs, size, *choose_bands(similarity, recall)), "sketches")
+    ranked = F.struct(F.col("key").isNull().alias("without"), "key", "row_id")
     classes = materialize(rows_.where("digest IS NOT NULL").groupBy("digest").agg(
         F.count("*").alias("copies"), F.min(ranked).alias("least"), F.min("n_grams").alias("n_grams")), "classes")
 
     # Copies have equal bands: the row that stands for the class brings them in.
     bucketed = rows_.join(classes.select("digest", F.col("least.row_id").alias("row_id")), ["digest", "row_id"], "left_semi").dropDuplicates(["digest", "row_id"])
     bucketed = bucketed.select("digest", F.explode("bands").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.min("digest").alias("root"), F.max("digest").alias("last")).where("root < last")
-    clusters = components(bucketed.join(shared.select("bucket", "root"), "bucket").select(
+    shared = bucketed.groupBy("bucket").agg(
+        F.min("digest").alias("root"), F.max("digest").alias("last"), F.count("*").alias("rows_of_key")).where("root < last").drop("last")
+    clusters = components(join_groups(bucketed, "bucket", shared, "buckets").select(
         F.col("digest").alias("a"), F.col("root").alias("b")), "candidate-links")
 
-    members = clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")).join(classes, "digest")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n_grams") / PART_GRAMS).cast("int").alias("parts"))
-    placed = materialize(members.join(sizes, "cluster").select(
+    members = materialize(clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")).join(classes, "digest"), "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n_grams") / PART_GRAMS).cast("int").alias("parts"), F.count("*").alias("rows_of_key"))
+    placed = materialize(join_groups(members, "cluster", sizes, "cluster-sizes").select(
         "digest", "cluster", "parts", "copies", F.col("least.row_id").alias("row_id"),
         F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part")), "cluster-parts")
 
     # The condition always holds; Spark builds its early filter only from a side that has one.
-    found = docs.select(row_id(key, text).alias("row_id"), F.col(text).alias("text")).join(placed.where("parts > 0"), "row_id")
+    found = docs.select("row_id", "text").join(placed.where("parts > 0"), "row_id")
     found = found.select("digest", "cluster", "parts", "copies", "part", "text")
     held = map_rows(found, "digest binary, cluster binary, parts int, copies bigint, part int, grams binary", lambda: lambda part: (
         (*row[:-1], grams.tobytes()) for row, grams in zip(part, gram_sets([row[-1] for row in part], size))))
@@ -216,18 +220,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     joined = classes.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").join(counted, "digest", "left")
     joined = materialize(joined.select("digest", "copies", "least", F.coalesce("root", "digest").alias("root"),
                                        F.coalesce("links", F.lit(0)).alias("links")), "joined-classes")
-    heads = joined.groupBy("root").agg(F.min("least").alias("head"))
-    named = materialize(joined.join(heads, "root").select("digest", "head", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")),
+    heads = joined.groupBy("root").agg(F.min("least").alias("head"), F.count("*").alias("rows_of_key"))
+    named = materialize(join_groups(joined, "root", heads, "heads").select("digest", "head", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")),
                         "named-classes")
     none = F.col("digest").isNull()
-    return rows_.select(key, "row_id", "digest").join(named, "digest", "left").select(
-        key, "row_id", F.when(none, F.col(key)).otherwise(F.col("head.key")).alias("class_id"),
+    return rows_.select("key", "row_id", "digest").join(named, "digest", "left").select(
+        F.col("key").alias(key), "row_id", F.when(none, F.col("key")).otherwise(F.col("head.key")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         (none | (F.col("row_id") == F.col("head.row_id"))).alias("first"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with all columns of ``docs``; of repeated rows one stays."""
-    chosen = near_duplicates(docs, key, text, similarity=similarity).where("first").select(F.col("row_id").alias("__row")).distinct()
-    known = docs.withColumn("__row", row_id(key, text)).join(chosen, "__row", "left_semi")
-    return known.dropDuplicates(["__row"]).drop("__row")
+    """One row of each class, with all columns of ``docs``, whatever their names; of repeated rows one stays, of no rows none."""
+    own = "row_id"
+    while own.lower() in map(str.lower, docs.columns):
+        own += "_"
+    plain = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
+    chosen = near_duplicates(plain, "key", similarity=similarity).where("first").select(F.col("row_id").alias(own)).distinct()
+    known = docs.withColumn(own, row_id(key, text)).join(chosen, own, "left_semi")
+    return known.dropDuplicates([own]).drop(own)

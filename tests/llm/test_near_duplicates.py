@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline.llm import components, ngram_join, queries
 from tests.conftest import SMALL
@@ -109,6 +110,37 @@ def test_components_equal_union_find(spark):
     assert found == {n: find(n) for n in root if any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_a_hot_key_meets_its_group_without_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_KEYS", 20)
+    rows = spark.createDataFrame([(1, i) for i in range(3000)] + [(2 + i % 50, i) for i in range(150)] + [(99, 1)], "u int, v int")
+    groups = rows.where("u < 99").groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows_of_key"))
+    joined = components.join_groups(rows, "u", groups, "test")
+    assert joined.columns == ["u", "v", "m"] and joined.count() == 3150
+    assert joined.where("m <> if(u = 1, 0, u - 2)").count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = components.join_groups(rows, "u", groups, "test")
+        largest = joined.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert largest < 3000 / 2  # of eight tasks
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, t, i, str(i), -i) for i, t in copies()]
+    odd = spark.createDataFrame(rows, "digest int, text string, row_id int, `a.b` string, __row int")
+    found = sorted((r.digest, r.class_id, r.n_links) for r in ngram_join.near_duplicates(odd, "digest").collect())
+    assert found == sorted(plain(copies()))
+    kept = ngram_join.keep_first(odd, "digest")
+    assert kept.columns == odd.columns
+    assert all(r.row_id == r.digest == -r["__row"] and r["a.b"] == str(r.digest) for r in kept.collect())
+    for name in ("bands", "n_grams", "cluster", "key"):
+        renamed = odd.select(F.col("digest").alias(name), "text")
+        assert ngram_join.near_duplicates(renamed, name).columns[0] == name
+
+
 def test_query_two_equals_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     found = sorted(((r.doc_id, r.class_id, r.n_links) for r in queries.op2_ngram_join(spark, SMALL).collect()), key=str)
