@@ -37,24 +37,51 @@ def test_binomial_tail_is_exact():
     assert risk_rules.at_most(5, 5, 0.3) == pytest.approx(1.0)
 
 
-def test_cutoffs_pass_in_order_and_stop_at_the_first_failure():
-    n = len(risk_rules.CUTOFFS)
+def test_settings_pass_in_order_and_stop_at_the_first_failure():
+    n = 60
     good = np.array([0] * 20 + [900] * (n - 20))
     bad = np.array([0] * 5 + [40] * (n - 5))
-    assert risk_rules.choose_cutoff(good, bad, 1000, 0.01, 0.01) == risk_rules.CUTOFFS[(5 + 19 + 1) // 2]
-    assert risk_rules.choose_cutoff(good, bad, 100, 0.01, 0.01) is None  # too few labels to guarantee anything
-    assert risk_rules.choose_cutoff(good, np.zeros(n, int), 1000, 0.01, 0.01) is None
+    assert risk_rules.choose_setting(good, bad, 1000, 0.01, 0.01) == 19
+    assert risk_rules.choose_setting(good, bad, 100, 0.01, 0.01) is None  # too few labels to guarantee anything
+    assert risk_rules.choose_setting(good, np.zeros(n, int), 1000, 0.01, 0.01) is None
+    assert risk_rules.choose_setting(good[:0], bad[:0], 1000, 0.01, 0.01) is None
+    assert risk_rules.choose_setting(good, bad, 113, 0.04, 0.01) == 19 and risk_rules.choose_setting(good, bad, 112, 0.04, 0.01) is None
+
+
+def test_path_goes_where_most_bad_texts_are():
+    none = len(risk_rules.CUTOFFS)
+    texts = [(none, none, 50, 40, True)] * 30 + [(10, none, none, none, False)] * 8 + [(none, none, 20, 10, False)] * 9
+    drawn = np.array(texts)
+    path = risk_rules.lay_path(drawn[:, :4].astype(int), drawn[:, 4] == 1)
+    order = list(dict.fromkeys(rule for rule, _ in path))
+    assert len(order) == 2 and order[0] in (2, 3) and order[1] == 0
+    for rule in order:
+        assert [at for r, at in path if r == rule] == list(range(sum(r == rule for r, _ in path)))
+    reached = {rule: max(at for r, at in path if r == rule) for rule in order}
+    assert 10 <= reached[order[0]] < 50 and 10 <= reached[0] < none
+    assert risk_rules.lay_path(drawn[:0, :4].astype(int), drawn[:0, 4] == 1) == []
 
 
 def test_the_guarantee_holds_on_fresh_texts():
-    drawn = random.Random(3)
+    """Two ratios of good texts with known distributions; the true loss of the chosen joint setting is their exact tail."""
+    drawn = np.random.default_rng(3)
+    cutoffs, none = np.array(risk_rules.CUTOFFS), len(risk_rules.CUTOFFS)
+    steps_of = lambda ratios: (cutoffs[None, :] > ratios[:, None]).sum(1)
     lost = []
-    for _ in range(40):
-        sample = sorted((drawn.betavariate(1, 12) for _ in range(2000)), reverse=True)
-        good = np.array([sum(s >= c for s in sample) for c in risk_rules.CUTOFFS])
-        cutoff = risk_rules.choose_cutoff(good, 20 * good + 10, 2000, 0.02, 0.05)
-        lost.append((1 - cutoff) ** 12)  # true share of good texts at or beyond the cutoff
-    assert sum(share > 0.02 for share in lost) <= 5
+    for _ in range(60):
+        size = 600
+        steps = np.full((size + 200, 4), none)
+        steps[:size, 0], steps[:size, 1] = steps_of(drawn.beta(1, 12, size)), steps_of(drawn.beta(1, 30, size))
+        steps[size:, 0], steps[size:, 1] = steps_of(drawn.beta(3, 9, 200)), steps_of(drawn.beta(3, 20, 200))
+        good = np.arange(size + 200) < size
+        design = np.arange(size + 200) % 4 == 0
+        path = risk_rules.lay_path(steps[design], good[design])
+        first = [min((i for i, (r, at) in enumerate(path) if at >= row[r]), default=len(path)) for row in steps[~design]]
+        tally = [np.bincount(np.array(first)[good[~design] == kind], minlength=len(path) + 1).cumsum()[:-1] for kind in (True, False)]
+        chosen = risk_rules.choose_setting(*tally, int(good[~design].sum()), 0.04, 0.05)
+        limit = [min((cutoffs[at] for r, at in path[:chosen + 1] if r == rule), default=1.0) if chosen is not None else 1.0 for rule in (0, 1)]
+        lost.append(1 - (1 - (1 - limit[0]) ** 12) * (1 - (1 - limit[1]) ** 30))
+    assert sum(share > 0.04 for share in lost) <= 7 and max(lost) > 0.005
 
 
 def test_rules_judge_each_stratum_by_its_own_labels(spark):
@@ -68,6 +95,9 @@ def test_rules_judge_each_stratum_by_its_own_labels(spark):
     assert all(found[i, lang].kept for i, _, lang in good)
     assert all(found[2000 + i, "en"].failed_rules == ["symbols"] for i in range(60))
     assert all(found[3000 + i, None].kept for i in range(5))  # no good labels there
+    cuts = {r.stratum: r.symbols for r in risk_rules.learn_cutoffs(
+        rows.select("doc_id", "lang", statistics.counts_of("text").alias("c")).select("doc_id", "lang", "c.*"), labels, "lang").collect()}
+    assert cuts["en"] is not None and cuts["de"] is None  # no bad texts there
     assert risk_rules.judge(rows, labels).count() == len(good) + len(bad) + len(ODD)
     assert not any(r.kept for r in found.values() if r.n_words < 50)
 
