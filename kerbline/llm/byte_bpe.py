@@ -20,8 +20,10 @@ from tokenizers import Tokenizer, models
 
 from kerbline.llm.texts import map_rows
 
-#: Chunks a task remembers before it starts anew; bounds memory, never results.
-CACHE_ENTRIES = 800_000
+#: Bytes of chunks, ids and their objects a task remembers before it starts anew; bounds memory, never results.
+CACHE_BYTES = 160_000_000
+#: What Python takes for an entry beside its characters and ids.
+ENTRY_BYTES = 190
 #: A space before other white space or at the end. Takes more for white space than any split pattern does.
 UNEVEN = re.compile(r" (?:\s|$)")
 
@@ -76,6 +78,7 @@ class ByteBpe:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.decimal = {rank: str(rank) for rank in ranks.values()}
         self._known: dict[str, bytes] = {}
+        self._held = 0
 
     def _encode(self, chunks: list[list[str]]) -> list[bytes]:
         """The ids of each chunk, given as its matches, as the bytes of 32-bit numbers."""
@@ -94,13 +97,16 @@ class ByteBpe:
 
     def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
         """The ids of each text."""
-        if len(self._known) > CACHE_ENTRIES:
-            self._known = {}
+        if self._held > CACHE_BYTES:
+            self._known, self._held = {}, 0
         known = self._known
         parts = [[t] if UNEVEN.search(t) else t.split(" ") for t in texts]
         starts = self._encode([self.split.findall(first) for first, *_ in parts])
         new = [c for c in set().union(*(rest for _, *rest in parts)) if c not in known]
-        known.update(zip(new, self._encode([self.split.findall(f" {c}") for c in new])))
+        coded = self._encode([self.split.findall(f" {c}") for c in new])
+        known.update(zip(new, coded))
+        # A string takes four bytes a character at most; what a slice of texts adds is in proportion to these.
+        self._held += ENTRY_BYTES * len(new) + 4 * sum(map(len, new)) + sum(map(len, coded))
         return [np.frombuffer(start + b"".join(map(known.__getitem__, rest)), np.int32).tolist()
                 for start, (_, *rest) in zip(starts, parts)]
 

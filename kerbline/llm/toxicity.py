@@ -30,8 +30,9 @@ WINDOW = 6
 REPORTING = frozenset("said says called calls wrote writes quote quoted quoting word words term terms insult insults slur slurs "
                       "according phrase".split())
 MARKS = re.compile("[\"“”«»„]")
-#: Remembered words and automaton transitions before a task starts anew; bounds memory, never results.
-CACHE_ENTRIES = 400_000
+#: Remembered words and automaton transitions before a task starts anew, and the longest word that is remembered; these
+#: bound memory, never results.
+CACHE_ENTRIES, LONGEST_REMEMBERED = 400_000, 64
 
 
 def edits(length: int) -> int:
@@ -133,7 +134,8 @@ class Lexicon:
             if not items:
                 break
         found = min((used for node, used in items if node in self._word or node in self._beginning), default=None)
-        self._known[word] = found
+        if len(word) <= LONGEST_REMEMBERED:
+            self._known[word] = found
         return found
 
     def hits(self, words: set[str]) -> dict[str, int]:

@@ -36,7 +36,7 @@ def test_split_characters_appear_with_their_last_id():
 
 
 def test_a_small_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 1000)
     coder = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
     texts = [prose(s, 40) for s in range(20)]
     assert [coder.encode_batch([t])[0] for t in texts] == [OTHER.encode_ordinary(t) for t in texts]
