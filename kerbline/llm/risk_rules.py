@@ -3,7 +3,9 @@
 A rule rejects a text whose ratio reaches a cutoff; a setting is a cutoff for each rule, and rejects what any of its rules
 rejects. A quarter of the labelled texts, of all strata together, serves to lay a path of settings from lenient to strict:
 again and again the rule and cutoff are taken that reject most bad texts, less ``GOOD_WORTH`` for each good one, of the texts that are
-left, and the rule goes there step by step. Labelled good texts of the other three quarters are the holdout: for each stratum
+left, and the rule goes there step by step. Every text of the quarter counts: it is tallied by Spark, and the driver sees for each
+stretch of the path only how many texts have which first rejecting cutoff. Labelled good texts of the other three quarters are the
+holdout, which the path may not have seen, or the tests would not hold: for each stratum
 the settings are tested along the path. A setting passes if the exact binomial test rejects "it falsely rejects more than the
 allowed share of good texts"; the first that does not pass ends the row, so that neither the row nor the number of rules costs
 a correction (fixed-sequence testing of joint settings, laid out by other texts). Strata are corrected for by Bonferroni, so
@@ -15,6 +17,9 @@ with four strata) have no cutoffs: nothing can be guaranteed for them, and nothi
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,8 +30,8 @@ from kerbline.operators.store import materialize
 RISK, ERROR = 0.04, 0.05
 #: Bad texts that must be rejected for each good text lost, among cutoffs that pass.
 GOOD_WORTH = 10
-#: One in so many labelled texts lays the path, and at most so many of these, chosen by hash of the key.
-DESIGN_SHARE, DESIGN_ROWS = 4, 20_000
+#: One in so many labelled texts, chosen by hash of the key, lays the path; all others test it.
+DESIGN_SHARE = 4
 #: From lenient to strict: 60 steps of 10 % from 1 down to 0.0033.
 CUTOFFS = tuple(round(1.1 ** -k, 6) for k in range(60))
 
@@ -56,17 +61,17 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
 
 
-def lay_path(steps: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
+def walk(tally: Callable[[list[int]], np.ndarray]) -> list[tuple[int, int]]:
     """Settings from lenient to strict: (rule, place of its cutoff), each in force beside all before it.
 
-    ``steps`` has, for each text and rule, the first cutoff that rejects the text, one past the grid for none.
+    ``tally`` gets for each rule the number of its cutoffs in force. Of the texts that these leave, it counts by rule, label and
+    first rejecting cutoff (one past the grid for none).
     """
-    path, levels, left = [], [0] * len(RULES), np.ones(len(steps), bool)
+    path, levels = [], [0] * len(RULES)
     while True:
         most, rule, stop = 0, None, None
-        for at in range(len(RULES)):
-            tally = [np.bincount(steps[left & kind, at], minlength=len(CUTOFFS) + 1).cumsum()[:-1] for kind in (~good, good)]
-            worth = tally[0] - GOOD_WORTH * tally[1]
+        for at, (bad, good) in enumerate(tally(levels)):
+            worth = bad.cumsum()[:-1] - GOOD_WORTH * good.cumsum()[:-1]
             if worth.max() > most:
                 best = np.flatnonzero(worth == worth.max())
                 most, rule, stop = worth.max(), at, int(best[len(best) // 2])
@@ -74,7 +79,31 @@ def lay_path(steps: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
             return path
         path += [(rule, place) for place in range(levels[rule], stop + 1)]
         levels[rule] = stop + 1
-        left &= steps[:, rule] > stop
+
+
+def lay_path(steps: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
+    """The path of texts in memory: ``steps`` has for each text and rule the first cutoff that rejects it."""
+    def tally(levels: list[int]) -> np.ndarray:
+        left = (steps >= levels).all(1)
+        return np.array([[np.bincount(steps[left & kind, at], minlength=len(CUTOFFS) + 1) for kind in (~good, good)]
+                         for at in range(len(RULES))])
+
+    return walk(tally)
+
+
+def lay_path_of(graded: DataFrame) -> list[tuple[int, int]]:
+    """The path of a table of any size with a label and, under each rule's name, the first cutoff that rejects the text."""
+    alike = materialize(graded.groupBy("label", *RULES).agg(F.count("*").alias("texts")), "path-tally")
+    each = F.explode(F.array(*(F.struct(F.lit(at).alias("rule"), F.col(n).alias("step")) for at, n in enumerate(RULES)))).alias("e")
+
+    def tally(levels: list[int]) -> np.ndarray:
+        counts = np.zeros((len(RULES), 2, len(CUTOFFS) + 1), int)
+        left = alike.where(reduce(and_, (F.col(n) >= level for n, level in zip(RULES, levels))))
+        for rule, step, label, texts in left.select("label", "texts", each).groupBy("e.rule", "e.step", "label").agg(F.sum("texts")).collect():
+            counts[rule, label, step] = texts
+        return counts
+
+    return walk(tally)
 
 
 def choose_setting(good: np.ndarray, bad: np.ndarray, n_good: int, risk: float, error: float) -> int | None:
@@ -101,9 +130,7 @@ def learn_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str, key: str =
     graded = materialize(graded.select(F.col(stratum).alias("stratum"), "label", *(step(ratio(*parts)).alias(n) for n, parts in RULES.items()),
                                        draw.alias("draw")), "graded-steps")
     design = F.pmod("draw", F.lit(DESIGN_SHARE)) == 0
-    sample = graded.where(design).orderBy("draw").limit(DESIGN_ROWS).select("label", *RULES).collect()
-    drawn = np.array(sample, int).reshape(-1, 1 + len(RULES))
-    path = lay_path(drawn[:, 1:], drawn[:, 0] == 1)
+    path = lay_path_of(graded.where(design))
     # For each rule and step the first setting that rejects; one past the path for none.
     first = [[next((i for i, (r, place) in enumerate(path) if r == rule and place >= s), len(path)) for s in range(len(CUTOFFS) + 1)]
              for rule in range(len(RULES))]

@@ -84,6 +84,28 @@ def test_the_guarantee_holds_on_fresh_texts():
     assert sum(share > 0.04 for share in lost) <= 7 and max(lost) > 0.005
 
 
+def test_every_labelled_text_of_the_quarter_lays_the_path(spark):
+    """The bad texts of 100,000 are those whose keys have the greatest hashes."""
+    bad = "xxhash64(string(id)) > 6.5e18"
+    counts = spark.range(100_000).selectExpr(
+        "id AS doc_id", "'en' AS lang", "100L AS n_words", f"IF({bad}, 50L, id % 3) AS n_symbols", "500L AS word_chars",
+        "10L AS n_lines", "0L AS n_dup_lines", "0L AS n_repeat_words", "5L AS n_capitals")
+    labels = spark.range(100_000).selectExpr("id AS doc_id", f"IF({bad}, 0, 1) AS quality")
+    cutoffs = risk_rules.learn_cutoffs(counts, labels, "lang").collect()
+    assert len(cutoffs) == 1 and 0.02 < cutoffs[0].symbols <= 0.5
+
+
+def test_path_of_a_table_is_that_of_its_texts(spark):
+    drawn = np.random.default_rng(7)
+    good = drawn.random(3000) < 0.6
+    steps = np.where(good[:, None], drawn.integers(20, len(risk_rules.CUTOFFS) + 1, (3000, 4)), drawn.integers(0, 61, (3000, 4)))
+    table = spark.createDataFrame([(int(g), *map(int, row)) for g, row in zip(good, steps)],
+                                  "label int, " + ", ".join(f"{n} int" for n in risk_rules.RULES))
+    path = risk_rules.lay_path(steps, good)
+    assert len({rule for rule, _ in path}) == 4 and risk_rules.lay_path_of(table) == path
+    assert risk_rules.lay_path_of(table.limit(0)) == []
+
+
 def test_rules_judge_each_stratum_by_its_own_labels(spark):
     good = [(i, prose(i, 80, 4), "en" if i % 2 else "de") for i in range(1400)]
     bad = [(2000 + i, " ".join(f"{w}###" for w in prose(i, 80).split()), "en") for i in range(60)]
