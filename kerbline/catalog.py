@@ -94,7 +94,7 @@ def _l1_vsp(ws):
 
 
 def _islands(ws):
-    return events.conflict_runs(ws.l1, ws.p).select(
+    return events.conflict_runs(ws.event_frames, ws.p).select(
         "recordingId", "trackId", "run_start", "run_end", "run_rows", "conf_duration", "min_TTC_conf")
 
 
@@ -128,7 +128,7 @@ def _cluster_facts(ws):
 def _match_varied(ws):
     """Severe conflicts against the nearest milder one: unlike baseline windows these have many different durations."""
     milder = F.col("min_TTC_conf") >= 2.0
-    return mec.match_baselines(ws.l1, ws.conflicts.filter(~milder), ws.conflicts.filter(milder), ws.p).select(
+    return mec.match_baselines(ws.event_frames, ws.conflicts.filter(~milder), ws.conflicts.filter(milder), ws.p).select(
         "rec_id", "event_id", "l2_event_id", "base_event_id", "duration", "duration_base", "mean_v_conf", "mean_v_base", "MEC_CO2_per_event")
 
 
@@ -154,12 +154,12 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "l1_vsp": _l1_vsp,
     "l1_master": lambda ws: l1.master_frames(ws.raw, ws.p, ws.smoothed),
     "l2_islands": _islands,
-    "l2_conflict_events": lambda ws: events.conflict_events(ws.l1, ws.p).drop("min_ttc_frame"),
-    "l2_baseline_events": lambda ws: events.baseline_events(ws.l1, ws.p),
-    "episode_metrics": lambda ws: mec.episode_metrics(ws.l1, _kinds(ws), ws.p),
-    "episode_kinematics": lambda ws: behaviour.kinematic_extremes(ws.l1, ws.conflicts, ws.p).select(
+    "l2_conflict_events": lambda ws: events.conflict_events(ws.event_frames, ws.p).drop("min_ttc_frame"),
+    "l2_baseline_events": lambda ws: events.baseline_events(ws.event_frames, ws.p),
+    "episode_metrics": lambda ws: mec.episode_metrics(ws.event_frames, _kinds(ws), ws.p),
+    "episode_kinematics": lambda ws: behaviour.kinematic_extremes(ws.event_frames, ws.conflicts, ws.p).select(
         "recordingId", "event_id", "max_decel", "max_accel", "v_drop"),
-    "mec_match": lambda ws: mec.match_baselines(ws.l1, ws.conflicts, ws.baselines, ws.p).select(
+    "mec_match": lambda ws: mec.match_baselines(ws.event_frames, ws.conflicts, ws.baselines, ws.p).select(
         "rec_id", "event_id", "l2_event_id", "ego_id", "veh_class", "flow_state", "min_TTC_conf", "conf_duration",
         "duration", "duration_base", "dist_real_m", "dist_base_m", "E_real_CO2", "E_real_fuel", "E_base_CO2",
         "E_base_fuel", "mean_v_conf", "mean_v_base", "E_real_CO2_per_km", "E_base_CO2_per_km", "E_real_CO2_per_s",
@@ -172,7 +172,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "mec_basic_stats": lambda ws: mec_report.basic_stats(ws.mec, ws.p),
     "mec_summary": lambda ws: mec_report.summary_table(ws.mec, ws.p),
     "severity_duration_bins": lambda ws: mec_report.bin_counts(ws.mec, ws.p),
-    "threshold_sweep": lambda ws: sweep.threshold_sweep(ws.l1, ws.p),
+    "threshold_sweep": lambda ws: sweep.threshold_sweep(ws.event_frames, ws.p),
     "l1_profile": lambda ws: profile.l1_profile(ws.l1),
     "l1_overall": lambda ws: profile.l1_overall(profile.l1_profile(ws.l1)),
     "l2_profile": lambda ws: profile.l2_profile(ws.conflicts, ws.baselines, ws.p),
@@ -214,7 +214,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "cluster_features": _cluster_features,
     "cluster_facts": _cluster_facts,
     "mec_headline_of_older_names": _renamed_costs,
-    "episode_metrics_from_times": lambda ws: mec.episode_metrics(ws.l1.drop("dt", "frame_s"), _kinds(ws), ws.p),
+    "episode_metrics_from_times": lambda ws: mec.episode_metrics(ws.event_frames.drop("dt", "frame_s"), _kinds(ws), ws.p),
     "clusters": _clusters,
     "cluster_summary": lambda ws: behaviour.cluster_summary(_clustered(ws), ws.p),
     "cluster_curves": lambda ws: behaviour.cluster_curves(ws.l1, _clustered(ws), ws.p),

@@ -62,6 +62,18 @@ def running_total(sharded: Sharded, weight: Column, name: str) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """1-based row number within each group; ``order`` must be unique within the group."""
+#: A group of so many rows is put in order by one task, if all groups are known to be no larger.
+WINDOW_ROWS = 1_000_000
+
+
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, stored: bool = False) -> DataFrame:
+    """1-based row number within each group; ``order`` must be unique within the group.
+
+    ``stored`` says that ``df`` is read from a table. Its groups are then counted first, and without a large one a window does
+    it all: no rows are written and sorted twice.
+    """
+    if stored:
+        largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+        if largest <= WINDOW_ROWS:
+            return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
     return running_total(shard(df, group, order), F.lit(1).cast("long"), name)

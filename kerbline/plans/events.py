@@ -76,11 +76,12 @@ def conflict_windows(l1: DataFrame, p: Params, thresholds: Sequence[float] | Non
     long_enough = reaches(F.col("conf_duration"), shortest)
     if p.min_conflict_frames is not None:
         long_enough = F.col("run_rows") >= p.min_conflict_frames
-    cores = conflict_runs(l1, p, thresholds).filter(long_enough).select(
+    # Written first, so that their size is known when the frames are sliced: for few cores the frames need no shuffle.
+    cores = materialize(conflict_runs(l1, p, thresholds).filter(long_enough).select(
         "recordingId", F.col("trackId").alias("ego_id"), THRESHOLD,
         F.col("run_start").alias("conf_start_frame"), F.col("run_end").alias("conf_end_frame"),
         "conf_duration", F.col("min_TTC_conf").cast("double"),
-    )
+    ), "cores")
     before, after = p.frames(p.pre_event_time), p.frames(p.post_event_time)
     rows = slice_frames(
         _event_rows(l1, p), cores, F.col("conf_start_frame") - before, F.col("conf_end_frame") + after, p)
@@ -104,25 +105,28 @@ def _with_times(windows: DataFrame, p: Params) -> DataFrame:
 
 
 def baseline_windows(l1: DataFrame, p: Params) -> DataFrame:
-    """Calm, lane-keeping windows of fixed length, not yet numbered."""
+    """Calm, lane-keeping windows of fixed length, not yet numbered.
+
+    A tense row rules out each window that it belongs to. It is left out before the rows are copied into windows, and a window
+    that lacks a row is not calm. A row whose values are unknown rules out none.
+    """
     size, step = p.frames(p.baseline_window_time), p.frames(p.baseline_step_time)
-    windows = hop_windows(_event_rows(l1, p), size, step).groupBy(
+    tense = F.coalesce(F.col("TTC") <= p.ttc_baseline, F.lit(False)) | F.coalesce(
+        F.abs("a_long_smooth") >= p.accel_baseline, F.lit(False))
+    windows = hop_windows(_event_rows(l1, p).filter(~tense), size, step).groupBy(
         "recordingId", F.col("trackId").alias("ego_id"), "window_no").agg(
         F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), *_window_measures(l1, p),
-        F.avg(F.col("TTC").cast("double")).alias("mean_TTC"),
-        F.max(F.abs("a_long_smooth")).alias("_accel"),
+        F.avg(F.col("TTC").cast("double")).alias("mean_TTC"), F.count("*").alias("_rows"),
         F.min("laneId_raw").alias("_lane_low"), F.max("laneId_raw").alias("_lane_high"),
     )
     one_lane = F.coalesce(F.col("_lane_low") == F.col("_lane_high"), F.lit(True))
-    # A window whose values are all unknown is not ruled out by them.
-    tense = F.coalesce(F.col("min_TTC") <= p.ttc_baseline, F.lit(False)) | F.coalesce(F.col("_accel") >= p.accel_baseline, F.lit(False))
-    return windows.filter(~tense & one_lane).drop("_accel", "_lane_low", "_lane_high", "window_no").transform(_with_times, p)
+    return windows.filter((F.col("_rows") == size) & one_lane).drop("_rows", "_lane_low", "_lane_high", "window_no").transform(_with_times, p)
 
 
 def _numbered(windows: DataFrame, label: str, order: Sequence[str], p: Params) -> DataFrame:
     """Number events per recording in (track, start) order; they are written first, being needed often."""
     stored = materialize(windows, label)
-    return number_rows(stored, ["recordingId"], order, "event_id")
+    return number_rows(stored, ["recordingId"], order, "event_id", stored=True)
 
 
 def conflict_events(l1: DataFrame, p: Params) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from kerbline.functions.emissions import add_fuel_model, add_specific_power
 from kerbline.functions.kinematics import (
@@ -16,6 +19,10 @@ from kerbline.params import Params
 from kerbline.schemas import L1, NEIGHBOUR_IDS, conform
 from kerbline.sources.raw import RawTables
 
+#: The columns of L1 that events and their costs rest on, and the smoothed ones that these are made of.
+EVENT_COLUMNS = ("recordingId", "trackId", "frame", "time", "dt", "s_long", "laneId_raw", "veh_class", "v_long_smooth", "a_long_smooth",
+                 "TTC", "cpf_co2_rate_gps", "cpf_fuel_rate_lps", "vsp_co2_rate", "vsp_nox_rate")
+_BEHIND_EVENTS = (*EVENT_COLUMNS[:10], *WORKING, "precedingId", "width", "ttc_raw", "dist_headway_raw")
 LEADER = ("leader_s_long", "leader_v_long", "leader_a_long", "leader_width")
 _OPTIONAL = {"laneId": 0, "dhw": None, "thw": None, "ttc": None, **{name: 0 for name in NEIGHBOUR_IDS}}
 
@@ -117,11 +124,14 @@ def _unify(rows: DataFrame) -> DataFrame:
     )
 
 
-def smoothed_frames(raw: RawTables, p: Params, pieces: DataFrame | None = None) -> DataFrame:
-    """Frames with smoothed motion, written as a table: vehicles and their leaders are both read from it."""
+def smoothed_frames(raw: RawTables, p: Params, pieces: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    """Frames with smoothed motion, written as a table: vehicles and their leaders are both read from it.
+
+    ``columns`` names those that are needed, if not all.
+    """
     rows = with_smoothed(keyed_frames(raw, p, pieces), "v_long_raw", {"v_long_smooth": 0, "a_long_smooth": 1}, p)
     rows = rows.withColumn("lane_changed", lane_changed()).filter(~F.col(HALO)).drop(HALO, PIECE)
-    return materialize(rows, "smoothed")
+    return materialize(rows.select(*columns) if columns else rows, "smoothed")
 
 
 def with_leader(rows: DataFrame) -> DataFrame:
@@ -140,14 +150,27 @@ def with_leader(rows: DataFrame) -> DataFrame:
         leaders, ["recordingId", "frame", "_leader"], "left").drop("_leader")
 
 
+def _rated(smoothed: DataFrame, p: Params) -> DataFrame:
+    """Safety against the leader, and emissions."""
+    rows = add_safety(add_interaction(with_leader(smoothed)), p)
+    return add_specific_power(add_fuel_model(rows), p)
+
+
 def working_frames(raw: RawTables, p: Params, smoothed: DataFrame | None = None) -> DataFrame:
     """L1 with its working columns (row order, lane changes, frame length), from which the event stage continues."""
-    rows = with_leader(smoothed_frames(raw, p) if smoothed is None else smoothed)
-    rows = add_safety(add_interaction(rows), p)
-    rows = add_specific_power(add_fuel_model(rows), p)
+    rows = _rated(smoothed_frames(raw, p) if smoothed is None else smoothed, p)
     return conform(add_image_coordinates(rows, p), L1, WORKING)
 
 
+def event_frames(raw: RawTables, p: Params, pieces: DataFrame | None = None, smoothed: DataFrame | None = None) -> DataFrame:
+    """The columns of L1 that events and their costs rest on, with its working columns: all rows, a third of the columns.
+
+    Most of the time of a large L1 goes into carrying, sorting and writing columns; events need few of them.
+    """
+    rows = _rated(smoothed_frames(raw, p, pieces, _BEHIND_EVENTS) if smoothed is None else smoothed, p)
+    return conform(rows, StructType([field for field in L1 if field.name in EVENT_COLUMNS]), WORKING)
+
+
 def master_frames(raw: RawTables, p: Params, smoothed: DataFrame | None = None) -> DataFrame:
     """L1 in its published form."""
     return working_frames(raw, p, smoothed).drop(*WORKING)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbline.operators.store import kept, materialize
 from kerbline.params import Params
 from kerbline.plans.events import baseline_events, conflict_events
-from kerbline.plans.l1 import piece_table, smoothed_frames, working_frames
+from kerbline.plans.l1 import event_frames, piece_table, smoothed_frames, working_frames
 from kerbline.plans.mec import match_baselines
 from kerbline.sources.activity import ACTIVITY_PARAMS, read_activity
 from kerbline.sources.raw import RawTables
@@ -51,18 +51,26 @@ class Workspace:
     def l1(self) -> DataFrame:
         return self.table("l1", lambda: materialize(working_frames(self.raw, self.p, self.smoothed), "l1"))
 
+    @property
+    def event_frames(self) -> DataFrame:
+        """What the event and cost stages read: L1 if it is there, else its few columns that these need."""
+        if "l1" in self._tables:
+            return self.l1
+        return self.table("event-frames", lambda: materialize(
+            event_frames(self.raw, self.p, self.pieces, self._tables.get("smoothed")), "event-frames"))
+
     @property
     def conflicts(self) -> DataFrame:
-        return self.table("conflicts", lambda: materialize(conflict_events(self.l1, self.p), "conflict-events"))
+        return self.table("conflicts", lambda: materialize(conflict_events(self.event_frames, self.p), "conflict-events"))
 
     @property
     def baselines(self) -> DataFrame:
-        return self.table("baselines", lambda: materialize(baseline_events(self.l1, self.p), "baseline-events"))
+        return self.table("baselines", lambda: materialize(baseline_events(self.event_frames, self.p), "baseline-events"))
 
     @property
     def mec(self) -> DataFrame:
         return self.table("mec", lambda: materialize(
-            match_baselines(self.l1, self.conflicts, self.baselines, self.p), "mec"))
+            match_baselines(self.event_frames, self.conflicts, self.baselines, self.p), "mec"))
 
     def readable(self) -> bool:
         """Whether the stage tables are still there, by a look at their folders; no job is run."""

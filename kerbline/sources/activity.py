@@ -21,7 +21,7 @@ ACTIVITY_PARAMS = Params(frame_rate=1.0, min_conflict_duration=0.4, consecutive_
 def activity_frames(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> DataFrame:
     """Number each user's events in time order, whatever share of the events one user holds."""
     used = events.select("user_id", "ts", "event_id", "event_type", "value")
-    return number_rows(used, ["user_id"], ["ts", "event_id"], "frame")
+    return number_rows(used, ["user_id"], ["ts", "event_id"], "frame", stored=True)
 
 
 def activity_tables(events: DataFrame, p: Params = ACTIVITY_PARAMS) -> RawTables:

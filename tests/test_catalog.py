@@ -63,6 +63,15 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 3
 
 
+def test_costs_are_made_without_the_wide_frame_tables(spark):
+    narrow, wide = (Workspace(spark, SMALL, ACTIVITY_PARAMS) for _ in range(2))
+    costs = sorted(map(str, narrow.mec.collect()))
+    assert "l1" not in narrow._tables and "smoothed" not in narrow._tables and len(narrow.event_frames.columns) < 20
+    assert narrow.event_frames.exceptAll(wide.l1.select(narrow.event_frames.columns)).count() == 0
+    assert narrow.event_frames.count() == wide.l1.count() and wide.event_frames is wide.l1
+    assert costs == sorted(map(str, wide.mec.collect()))
+
+
 def test_workspace_is_shared_and_renewed(spark):
     one = open_workspace(spark, SMALL)
     assert open_workspace(spark, SMALL) is one

@@ -12,7 +12,7 @@ from kerbline.operators.hexbin import hexbin
 from kerbline.operators.intervals import hop_windows, runs, slice_frames
 from kerbline.operators.matching import build_tree, descend, nearest_by_speed
 from kerbline.operators.ordered import number_rows
-from kerbline.operators import quantiles
+from kerbline.operators import ordered, quantiles
 from kerbline.operators.quantiles import summarise
 from kerbline.operators.sampling import head_per_group, sample_rows
 from kerbline.operators.smoothing import with_smoothed
@@ -278,3 +278,13 @@ def test_samples_do_not_depend_on_partitioning(spark):
     assert first == second and len(first) == 10
     heads = head_per_group(df.withColumn("g", F.col("id") % 3), ["g"], ["id"], 2).collect()
     assert sorted(r.id for r in heads) == [0, 1, 2, 3, 4, 5]
+
+
+def test_stored_rows_are_numbered_alike_whatever_the_groups(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("IF(id % 7 = 0, NULL, id % 3) AS g", "pmod(xxhash64(id), 1000003) AS o")
+    found = []
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(ordered, "WINDOW_ROWS", most)
+        found.append(sorted(map(str, ordered.number_rows(rows, ["g"], ["o"], "n", stored=True).collect())))
+    assert found[0] == found[1] and len(found[0]) == 500
+    assert ordered.number_rows(rows.limit(0), ["g"], ["o"], "n", stored=True).count() == 0
